@@ -7,11 +7,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_own: list[str] = []
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder named by ``spark.checkpoint.dir``; where that is unset (tests), in a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="basalt-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="basalt-"))
+        found = _own[0]
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
