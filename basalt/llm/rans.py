@@ -34,16 +34,20 @@ def quantise(counts: np.ndarray) -> np.ndarray:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    symbols, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
     n = len(ids)
     if not n:
         return HEAD.pack(MAGIC, 0, LANES, BLOCK, 0, 0)
+    counts = np.bincount(ids)  # ids are below the vocabulary's size
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[symbols] = np.arange(len(symbols))
+    at, counts = place[ids], counts[symbols]
     f = quantise(counts)
     start = np.concatenate([[0], np.cumsum(f)[:-1]])
     blocks, steps = -(-n // BLOCK), BLOCK // LANES
     if blocks == 1:
         steps = -(-n // LANES)
-    padded = np.full(blocks * steps * LANES, int(np.argmax(f)), np.int64)
+    padded = np.full(blocks * steps * LANES, int(np.argmax(f)), np.int32)
     padded[:n] = at
     grid = padded.reshape(blocks, steps, LANES)
     x = np.full((blocks, LANES), TOTAL, np.uint64)
