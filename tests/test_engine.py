@@ -310,7 +310,7 @@ def test_catalog(engine):
 
 
 def test_names():
-    assert results.portable(["a", "count(1)", "a", "f1_", "A"]) == ["a", "f1__1", "f2_", "f1_", "f4_"]
+    assert results.portable(["a", "count(1)", "a", "f1_", "A"]) == ["a", "f1_1", "f2_", "f1_", "f4_"]
 
 
 def test_cells():
