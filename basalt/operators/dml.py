@@ -60,7 +60,8 @@ def merge(target: DataFrame, source: DataFrame, alias: str, source_alias: str, o
         both = _never(target, source, alias, source_alias)
     else:
         t = target.withColumn("__t", F.lit(True)).withColumn("__row", F.monotonically_increasing_id()).alias(alias)
-        both = t.join(source.withColumn("__s", F.lit(True)).alias(source_alias), F.expr(on), "full")
+        s = source.withColumn("__s", F.lit(True)).withColumn("__source_row", F.monotonically_increasing_id()).alias(source_alias)
+        both = t.join(s, F.expr(on), "full")
     in_target, in_source = F.col(f"{alias}.__t").isNotNull(), F.col(f"{source_alias}.__s").isNotNull()
     kinds = {"matched": in_target & in_source, "absent": ~in_target & in_source, "orphan": in_target & ~in_source}
     chosen: Column = F.lit(-1)
@@ -68,7 +69,9 @@ def merge(target: DataFrame, source: DataFrame, alias: str, source_alias: str, o
         holds = F.coalesce(F.expr(c.condition), F.lit(False)) if c.condition else F.lit(True)
         chosen = F.when(kinds[c.kind] & holds, F.lit(i)).otherwise(chosen)
     marked = both.withColumn("__chosen", chosen)
-    changed = F.sum(F.when((F.col("__chosen") >= 0) & kinds["matched"], 1).otherwise(0)).over(Window.partitionBy(f"{alias}.__row"))
+    # Rows by target row; source rows without one each by themselves, so that they aren't one group.
+    row = Window.partitionBy(F.coalesce(f"{alias}.__row", -1 - F.col(f"{source_alias}.__source_row")))
+    changed = F.sum(F.when((F.col("__chosen") >= 0) & kinds["matched"], 1).otherwise(0)).over(row)
     if any(c.kind == "matched" for c in clauses) and on.strip().upper() != "FALSE":
         marked = marked.withColumn("__times", changed).withColumn("__chosen", F.when(kinds["matched"] & (F.col("__times") > 1), F.raise_error(F.lit("MERGE: several source rows match one target row")).cast("int")).otherwise(F.col("__chosen")))
     columns = []
@@ -87,8 +90,8 @@ def merge(target: DataFrame, source: DataFrame, alias: str, source_alias: str, o
     # A target row that several source rows match without a change stands once.
     once = marked
     if on.strip().upper() != "FALSE":
-        nth = F.row_number().over(Window.partitionBy(f"{alias}.__row").orderBy(F.col("__chosen").desc()))
-        once = marked.withColumn("__nth", nth).where((F.col("__nth") == 1) | ~in_target)
+        nth = F.row_number().over(row.orderBy(F.col("__chosen").desc()))
+        once = marked.withColumn("__nth", nth).where("__nth = 1")
     rows = once.withColumn("__stays", stays).where("__stays").select(*columns)
     return rows, once.where("__chosen >= 0")
 
@@ -96,5 +99,5 @@ def merge(target: DataFrame, source: DataFrame, alias: str, source_alias: str, o
 def _never(target: DataFrame, source: DataFrame, alias: str, source_alias: str) -> DataFrame:
     """The full outer join on FALSE, as an equality that no row meets: Spark then needs no product."""
     t = target.withColumn("__t", F.lit(True)).withColumn("__row", F.monotonically_increasing_id()).withColumn("__never", F.lit(0)).alias(alias)
-    s = source.withColumn("__s", F.lit(True)).withColumn("__never", F.monotonically_increasing_id() + 1).alias(source_alias)
+    s = source.withColumn("__s", F.lit(True)).withColumn("__source_row", F.monotonically_increasing_id()).withColumn("__never", F.col("__source_row") + 1).alias(source_alias)
     return t.join(s, F.col(f"{alias}.__never") == F.col(f"{source_alias}.__never"), "full")

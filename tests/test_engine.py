@@ -265,6 +265,22 @@ def test_dynamic_overwrite(engine):
     assert sorted(r.id for r in engine.table("t").collect()) == [2, 4, 5, 6, 7, 8]
 
 
+SCRIPT = "DECLARE p DEFAULT (SELECT ARRAY_AGG(DISTINCT(date_trunc(`day`, DAY)) IGNORE NULLS) FROM `main.s`); \nMERGE `main.t` AS `x`\nUSING `main.s` AS `y`\nON FALSE\nWHEN NOT MATCHED BY SOURCE AND (TRUE) AND date_trunc(`x`.`day`, DAY) IN UNNEST(p) THEN DELETE\nWHEN NOT MATCHED BY TARGET THEN\nINSERT(`id`,`day`) VALUES(`y`.`id`,`y`.`day`)"
+
+
+def test_partition_overwrite_script(engine):
+    for t in "ts":
+        engine.query(f"CREATE TABLE {t} (id INT64, day DATE)")
+    engine.query("INSERT INTO t VALUES (1, DATE '2026-01-01'), (2, DATE '2026-01-02'), (4, NULL)")
+    engine.query("INSERT INTO s VALUES (5, DATE '2026-01-01'), (8, NULL)")
+    assert engine.query(SCRIPT).first()[0] == 3
+    assert sorted(r.id for r in engine.table("t").collect()) == [2, 4, 5, 8]
+    for near in (SCRIPT.replace("(TRUE)", "(FALSE)"), SCRIPT.replace("`y`.`id`", "`y`.`day`"), SCRIPT.replace("date_trunc(`x`", "lower(`x`"), "DECLARE a DEFAULT 1; SELECT a", SCRIPT.replace("date_trunc", "RANGE_BUCKET")):
+        with pytest.raises((Invalid, Unsupported)):
+            engine.query(near)
+    assert engine.table("t").count() == 4
+
+
 def test_load(engine, tmp_path):
     engine.spark.createDataFrame([(2, "two"), (3, "three")], "id long, name string").write.parquet(f"{tmp_path}/in")
     engine.query("CREATE TABLE t (id INT64 NOT NULL, name STRING)")
