@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, map_batches, stored
 
-BITS = 16
+BITS = 18
 LABELLED = 20_000
 #: n-grams of the nominal document: the scale of importance against the noise.
 NOMINAL = 2000.0
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, good: np.ndarray) -> np.ndarray:
                 raw += np.bincount(h, minlength=1 << BITS)
                 starts = np.concatenate([[0], ends[:-1]])
                 for k in np.flatnonzero(hit[row : row + len(ends)]):
-                    target += np.bincount(h[starts[k] : ends[k]], minlength=1 << BITS)
+                    np.add.at(target, h[starts[k] : ends[k]], 1)
         seen = np.flatnonzero(raw)
         yield {"bucket": seen.astype(np.int32), "raw": raw[seen], "target": target[seen]}
 
@@ -114,13 +114,13 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def level_of(good: np.ndarray, other: np.ndarray) -> float:
-    """The level with the fewest errors on the labelled sample, a lost good document counting double."""
+    """The level with the fewest errors on the labelled sample, a lost good document counting fourfold."""
     if not len(good) or not len(other):
         return -np.inf
     cuts = np.unique(np.concatenate([good, other]))
     lost = np.searchsorted(np.sort(good), cuts)
     passed = len(other) - np.searchsorted(np.sort(other), cuts)
-    at = int(np.argmin(2 * lost / len(good) + passed / len(other)))
+    at = int(np.argmin(4 * lost / len(good) + passed / len(other)))
     return float(cuts[at] if at == 0 else (cuts[at - 1] + cuts[at]) / 2)
 
 
