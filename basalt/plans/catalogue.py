@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import functions as G
+from ..functions import array_agg
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -129,6 +132,8 @@ sql("fn_abs_ceil_floor_round", "SELECT c_custkey, ABS(c_acctbal) AS a, CAST(CEIL
 sql("fn_lower_upper_length", "SELECT p_partkey, LOWER(p_name) AS l, UPPER(p_name) AS u, CAST(LENGTH(p_name) AS BIGINT) AS n FROM {part}")
 sql("fn_array_length", "SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n FROM {embeddings}", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n FROM {embeddings}")
 sql("fn_to_json", "SELECT n_nationkey, to_json(named_struct('k', n_nationkey, 'name', NULLIF(n_name, 'NATION_1')), map('ignoreNullFields', 'false')) AS j FROM {nation}", "SELECT n_nationkey, CAST(to_json(struct_pack(k := n_nationkey, name := NULLIF(n_name, 'NATION_1'))) AS VARCHAR) AS j FROM {nation}")
+frame("fn_shims", "SELECT o_orderkey, CAST(ceil(o_totalprice) AS DOUBLE) AS a, CAST(floor(o_totalprice) AS DOUBLE) AS b, CAST(floor(o_totalprice + 0.5) AS BIGINT) AS c, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / (o_orderkey % 3) END AS d, o_orderstatus IN ('F', 'P') AS e, CAST(to_json(o_orderstatus) AS VARCHAR) AS f FROM {orders}")(
+    lambda t: t("orders").select("o_orderkey", G.ceil(F.col("o_totalprice")).alias("a"), G.floor(F.col("o_totalprice")).alias("b"), G.to_int64(F.col("o_totalprice")).alias("c"), G.safe_divide(F.col("o_totalprice"), F.col("o_orderkey") % 3).alias("d"), G.in_unnest(F.col("o_orderstatus"), F.array(F.lit("F"), F.lit(None), F.lit("P"))).alias("e"), G.to_json(F.col("o_orderstatus"), scalar=True).alias("f")))
 for _part in ("MICROSECOND", "MILLISECOND", "SECOND", "MINUTE", "HOUR", "DAY", "WEEK", "MONTH", "QUARTER", "YEAR"):
     sql(f"fn_timestamp_trunc_{_part.lower()}", f"SELECT event_id, CAST(date_trunc('{_part}', ts) AS TIMESTAMP_NTZ) AS t FROM {{events}}", f"SELECT event_id, CAST(date_trunc('{_part}', ts) AS TIMESTAMP) AS t FROM {{events}}")
 for _part in ("WEEK", "MONTH", "QUARTER", "YEAR"):
@@ -173,8 +178,7 @@ sql("agg_pivot", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderk
 
 
 def _respecting(nation: DataFrame) -> DataFrame:
-    """Arrays with their nulls: aggregates drop nulls, but not records that hold one."""
-    held = nation.groupBy("n_regionkey").agg(F.transform(F.collect_list(F.struct(F.nullif("n_nationkey", F.lit(3)).alias("x"))), lambda e: e["x"]).alias("a"))
+    held = nation.groupBy("n_regionkey").agg(array_agg(F.nullif("n_nationkey", F.lit(3)), respect_nulls=True).alias("a"))
     return held.select("n_regionkey", F.size("a").cast("long").alias("n"), F.size(F.filter("a", lambda x: x.isNotNull())).cast("long").alias("there"))
 
 
