@@ -18,14 +18,16 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _scratch: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every node sees, from ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="basalt-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="basalt-"))
+        found = _own[0]
     return found.rstrip("/")
 
 
@@ -108,15 +110,19 @@ SLICES = 8  # 2 ** SLICES slices of a bitmap, each made by one task
 
 
 def bitmap_of(hashes: DataFrame, bits: int, least: int = 1) -> Bitmap:
-    """Bitmap of the values of the first column (64-bit hashes) whose counts (second column) reach ``least`` in total.
+    return bitmaps_of(hashes, [(bits, least)])[0]
 
-    Every slice of the bitmap is built by the task that got its range of hashes, so the driver gets
+
+def bitmaps_of(hashes: DataFrame, wanted: list[tuple[int, int]]) -> list[Bitmap]:
+    """For each (bits, least) a bitmap of the values of the first column (64-bit hashes, even in their upper
+    bits) whose counts (second column) reach ``least`` in total.
+
+    Every slice of a bitmap is built by the task that got its range of hashes, so the driver gets
     2 ** (bits - 3) bytes, whatever the size of the input.
     """
     name, count = hashes.columns[:2]
     dealt = hashes.withColumn("slice", F.shiftrightunsigned(name, 64 - SLICES).cast("int"))
     parts = max(1, min(1 << SLICES, int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    width = bits - SLICES
 
     def build(batches):
         held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -126,18 +132,17 @@ def bitmap_of(hashes: DataFrame, bits: int, least: int = 1) -> Bitmap:
         order = np.argsort(h)
         h, c = h[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h = h[first][np.add.reduceat(c, first) >= least]
-        if not len(h):
-            return
-        at = (h >> np.uint64(64 - bits)).astype(np.int64)
-        for s in np.unique(at >> width):
-            cells = np.zeros(1 << width, bool)
-            cells[at[at >> width == s] & ((1 << width) - 1)] = True
-            yield {"slice": [int(s)], "cells": [np.packbits(cells, bitorder="little").tobytes()]}
-
-    made = map_batches(dealt.repartition(parts, "slice").select(name, count), build, "slice int, cells binary")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    each = 1 << (width - 3)
+        h, c = h[first], np.add.reduceat(c, first)
+        for k, (bits, least) in enumerate(wanted):
+            at, width = (h[c >= least] >> np.uint64(64 - bits)).astype(np.int64), bits - SLICES
+            for s in np.unique(at >> width):
+                cells = np.zeros(1 << width, bool)
+                cells[at[at >> width == s] & ((1 << width) - 1)] = True
+                yield {"k": [k], "slice": [int(s)], "cells": [np.packbits(cells, bitorder="little").tobytes()]}
+
+    made = map_batches(dealt.repartition(parts, "slice").select(name, count), build, "k int, slice int, cells binary")
+    out = [np.zeros(1 << (bits - 3), np.uint8) for bits, _ in wanted]
     for row in made.toLocalIterator(prefetchPartitions=True):
-        out[row.slice * each : (row.slice + 1) * each] = np.frombuffer(row.cells, np.uint8)
-    return Bitmap(bits, out.tobytes())
+        each = 1 << (wanted[row.k][0] - SLICES - 3)
+        out[row.k][row.slice * each : (row.slice + 1) * each] = np.frombuffer(row.cells, np.uint8)
+    return [Bitmap(bits, cells.tobytes()) for (bits, _), cells in zip(wanted, out, strict=True)]

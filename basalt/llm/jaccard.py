@@ -1,21 +1,26 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of its distinct word shingles (64-bit hashes). Texts of equal sets form a class and
-only classes are joined. Shingles met often (a bounded list of the most frequent ones; any list gives the
-same result) form the frequent class; all others are rare. Shingles are ordered rare first, then by hash,
-and each set indexes a prefix: rare shingles singly, frequent ones only in pairs. To keep the pairs few,
-frequent shingles are dealt by hash into bins and pair up inside a bin.
+only classes are joined. Shingles fall into classes of frequency: unique, rare (met less than ``FREQUENT``
+times) and frequent, and are ordered so, then by hash. Each set indexes a prefix of that order: unique
+shingles not at all (nobody shares them), rare ones singly, frequent ones only in pairs. To keep the pairs
+few, frequent shingles are dealt by hash into bins and pair up inside a bin.
 
 Why nothing is lost: a set of n shingles may miss n - ceil(t n) of them in a partner. The prefix is
-extended until (rare shingles) + (frequent shingles beyond the first of each bin) exceeds that number, so
-any partner shares a rare shingle or two frequent ones of a bin that lie in the shorter prefix, and hence
-in both. Bins depend on the size's power of two; a set indexes every power its partners can have.
+extended until (unique and rare shingles) + (frequent shingles beyond the first of each bin) exceeds that
+number, so any partner shares a rare shingle or two frequent ones of a bin that lie in the shorter prefix,
+and hence in both. Bins depend on the size's power of two; a set indexes every power its partners can have.
 
-Index keys held by one class are dropped by way of a bitmap. In a key's bucket every member is first
-verified against one pivot, the member with the fewest rare shingles (the text that others were copied
-from), which settles most groups with a candidate per member. Only buckets whose members then belong to
-different components go on to be verified pair by pair across components, so every link between
-components is found. Verification counts the whole sets' common shingles.
+Frequencies are found in two steps. First a quarter of the hash space is counted over all documents; a set
+with more unique shingles there than it may miss has no partner and is done. Of the sets that are left the
+other shingles are counted too. The counts are bitmaps of fixed size: a shingle that one takes for more
+frequent than it is, is so for every document, which costs work and loses nothing.
+
+In a key's bucket every member is first verified against one pivot, the member with the fewest unique
+shingles (the text that others were copied from), which settles most groups with a candidate per member.
+Buckets whose members then belong to different components are compared across components: small ones pair
+by pair; the members of large ones form families, whose sets meet in blocks of bounded size that return at
+most a link per member. So every link between components is found. Comparison is of the whole sets.
 
 A null or empty text has no shingles, links with nothing and is its own component; a text with fewer words
 than a shingle is one shingle. Rows that share an id share its component if either links. Null ids count
@@ -32,15 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, bitmap_of, id_text, map_batches, stored, texts_of
+from .common import Bitmap, bitmaps_of, id_text, map_batches, stored, texts_of
 from .graph import connected
 from .hashing import mix, signed, windows, word_hashes
 
-#: A shingle seen so often, by the counts that tasks report, is frequent; the most frequent LISTED are listed.
-FREQUENT, LISTED = 16, 1 << 20
+#: A shingle met so often is frequent.
+FREQUENT = 16
+#: Shingles below this hash are counted over all documents: more than a prefix needs, so that most sets are done.
+COUNTED = np.uint64(1 << 62)
 #: Shingles counted at a time by a task.
 CHUNK = 1 << 22
-INDEX_BITS, CLASS_BITS = 27, 24
+SHARED_BITS, FREQUENT_BITS = 28, 25
+#: Members of a bucket that are paired one by one; sets in a block.
+SMALL, BLOCK = 24, 512
 #: From sets of 2 ** 4 shingles on, frequent shingles pair up; smaller sets index them singly.
 PAIRS_FROM = 4
 U = np.uint64
@@ -61,48 +70,122 @@ def longs(values) -> pa.Array:
     return pa.array(signed(np.asarray(values, U)))
 
 
-def profile(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, n, and the set's digest h, h2. kind 1: a shingle h met n times (2 or more) in some part of a task."""
+def counted(batches, read) -> Iterator[dict]:
+    """(hash, times) of the shingles that ``read`` takes from batches; CHUNK of them at a time."""
+    held, size = [], 0
+
+    def counts():
+        got, n = np.unique(np.concatenate(held), return_counts=True)
+        return {"h": signed(mix(got)), "n": np.minimum(n, FREQUENT).astype(np.int32)}
+
+    for batch in batches:
+        for own in read(batch):
+            held.append(own)
+            size += len(own)
+            if size >= CHUNK:
+                yield counts()
+                held, size = [], 0
+    if size:
+        yield counts()
+
+
+class Seen:
+    """Classes that a task has met; forgetting only repeats rows."""
+
+    def __init__(self):
+        self.classes: set[int] = set()
+
+    def first(self, cls: int) -> bool:
+        new = cls not in self.classes
+        if new and len(self.classes) < 1 << 20:
+            self.classes.add(cls)
+        return new
+
+
+class Classes:
+    """The frequency class of a shingle, from bitmaps of the counted part and of the rest (or None: all frequent)."""
+
+    def __init__(self, low: tuple[Bitmap, Bitmap], high: tuple[Bitmap, Bitmap] | None = None):
+        self.low, self.high = low, high
+
+    def sent(self, spark):
+        return spark.sparkContext.broadcast([[(b.bits, b.cells.tobytes()) for b in pair] for pair in (self.low, self.high) if pair])
+
+    @staticmethod
+    def got(value) -> Classes:
+        return Classes(*[tuple(Bitmap(*b) for b in pair) for pair in value])
+
+    def part(self, own: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """(number of unique shingles, the rare, the frequent)."""
+        at = int(np.searchsorted(own, COUNTED))
+        rare, often, unique = [], [], 0
+        for some, bitmaps in ((own[:at], self.low), (own[at:], self.high)):
+            if bitmaps is None:
+                often.append(some)
+                continue
+            h = mix(some)
+            shared, frequent = (b.has(h) for b in bitmaps)
+            unique += int((~shared).sum())
+            rare.append(some[shared & ~frequent])
+            often.append(some[shared & frequent])
+        return unique, np.concatenate(rare), np.concatenate(often)
+
+
+def low_counts(docs: DataFrame, width: int) -> tuple[Bitmap, Bitmap]:
+    """Of the counted part of the hash space: shingles met twice or more, and FREQUENT times or more."""
+
+    def run(batches):
+        seen = Seen()
+
+        def read(batch):
+            for _, text in texts_of(batch):
+                own = shingles(text, width)
+                if seen.first(digest(own)[0]):  # copies are one class
+                    yield own[: np.searchsorted(own, COUNTED)]
+
+        yield from counted(batches, read)
+
+    return tuple(bitmaps_of(map_batches(docs, run, "h long, n int"), [(SHARED_BITS, 2), (FREQUENT_BITS, FREQUENT)]))
+
+
+def high_counts(left: DataFrame) -> tuple[Bitmap, Bitmap]:
+    """The same of the rest, over the sets (cls, own) that may have partners."""
 
     def run(batches):
-        held, size = [], 0
+        def read(batch):
+            for k in range(batch.num_rows):
+                own = np.frombuffer(batch.column(0)[k].as_buffer(), U)
+                yield own[np.searchsorted(own, COUNTED) :]
+
+        yield from counted(batches, read)
+
+    return tuple(bitmaps_of(map_batches(left.select("own"), run, "h long, n int"), [(SHARED_BITS, 2), (FREQUENT_BITS, FREQUENT)]))
 
-        def counts():
-            nonlocal held, size
-            got, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
-            held, size = [], 0
-            often = n >= 2
-            k = int(often.sum())
-            return {"kind": np.ones(k, np.int32), "doc_id": pa.nulls(k, pa.int64()), "n": n[often], "h": longs(got[often]), "h2": np.zeros(k, np.int64)}
 
+def scanned(docs: DataFrame, width: int, percent: int, classes: Classes) -> DataFrame:
+    """A row per document (own null): doc_id, cls, n; and per class that may have a partner: cls, n, own."""
+    sent = classes.sent(docs.sparkSession)
+
+    def run(batches):
+        known, seen = Classes.got(sent.value), Seen()
         for batch in batches:
-            ids, ns, h, h2 = [], [], [], []
+            rows, size = [], 0
             for doc, text in texts_of(batch):
                 own = shingles(text, width)
-                a, b = digest(own)
-                ids.append(doc)
-                ns.append(len(own))
-                h.append(a)
-                h2.append(b)
-                held.append(own)
-                size += len(own)
-                if size >= CHUNK:
-                    yield counts()
-            yield {"kind": np.zeros(len(ids), np.int32), "doc_id": ids, "n": ns, "h": longs(h), "h2": longs(h2)}
-        yield counts()
-
-    return map_batches(docs, run, "kind int, doc_id long, n long, h long, h2 long")
+                cls, n = digest(own)[0], len(own)
+                rows.append((doc, cls, n, None))
+                if n and seen.first(cls) and known.part(own)[0] <= n - least_overlap(n, percent):
+                    rows.append((None, cls, n, own.tobytes()))
+                    size += n
+                if size >= 1 << 20:
+                    yield columns(rows)
+                    rows, size = [], 0
+            yield columns(rows)
 
+    def columns(rows):
+        return {"doc_id": [r[0] for r in rows], "cls": longs([r[1] for r in rows]), "n": [r[2] for r in rows], "own": [r[3] for r in rows]}
 
-def frequent(profiled: DataFrame) -> np.ndarray:
-    """At most LISTED shingles, sorted."""
-    counts = profiled.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    met = counts.count()
-    if met > LISTED:  # the level that leaves about LISTED; ties beyond it are cut by hash
-        level = counts.agg(F.percentile_approx("n", 1 - LISTED / met, 10_000)).first()[0]
-        counts = counts.where(F.col("n") >= level)
-    got = counts.select("h").orderBy("h").limit(LISTED).toArrow().column(0)
-    return np.sort(got.to_numpy().astype(np.int64).view(U))
+    return map_batches(docs, run, "doc_id long, cls long, n long, own binary")
 
 
 def within(own: np.ndarray, listed: np.ndarray) -> np.ndarray:
@@ -116,14 +199,15 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signatures(own: np.ndarray, listed: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(index keys, rare shingles per thousand)."""
+def signatures(own: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, int]:
+    """(index keys, unique shingles per thousand)."""
     n = len(own)
-    need = n - least_overlap(n, percent) + 1
-    often = within(own, listed)
-    rare, common = own[~often], own[often]
-    keys = [mix(rare[:need])]
-    missing = need - len(rare)
+    unique, rare, common = classes.part(own)
+    missing = n - least_overlap(n, percent) + 1 - unique
+    if missing <= 0:
+        return own[:0], 1000 * unique // n
+    keys = [mix(rare[:missing])]
+    missing -= len(rare)
     if missing > 0:
         for level in range(least_overlap(n, percent).bit_length() - 1, (100 * n // percent).bit_length()):
             salt = U((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -141,82 +225,33 @@ def signatures(own: np.ndarray, listed: np.ndarray, percent: int) -> tuple[np.nd
             while d < m and (same := b[d:] == b[:-d]).any():
                 keys.append(mix((s[:-d][same] * U(0x9E3779B97F4A7C15) + s[d:][same]) ^ salt))
                 d += 1
-    return np.unique(np.concatenate(keys)), 1000 * len(rare) // n
+    return np.unique(np.concatenate(keys)), 1000 * unique // n
 
 
-def postings(docs: DataFrame, width: int, percent: int, listed: np.ndarray) -> DataFrame:
-    """key, cls, n, rare: a row for each index key of each class that a task meets."""
-    common = docs.sparkSession.sparkContext.broadcast(listed)  # at most LISTED
+def indexed(left: DataFrame, percent: int, classes: Classes) -> DataFrame:
+    """key, cls, n, single: a row for each index key of each set."""
+    sent = classes.sent(left.sparkSession)
 
     def run(batches):
-        seen: set[int] = set()
+        known = Classes.got(sent.value)
         for batch in batches:
             out, size = [], 0
-            for _, text in texts_of(batch):
-                own = shingles(text, width)
-                cls = digest(own)[0]
-                if not len(own) or cls in seen:
-                    continue
-                if len(seen) < 1 << 20:  # forgetting only repeats rows
-                    seen.add(cls)
-                keys, rare = signatures(own, common.value, percent)
-                out.append((keys, cls, len(own), rare))
+            for k in range(batch.num_rows):
+                cls, own = batch.column(0)[k].as_py(), np.frombuffer(batch.column(1)[k].as_buffer(), U)
+                keys, single = signatures(own, known, percent)
+                out.append((keys, cls, len(own), single))
                 size += len(keys)
                 if size >= 1 << 18:
                     yield rows(out)
                     out, size = [], 0
-            if out:
+            if size:
                 yield rows(out)
 
     def rows(out):
-        times = [len(k) for k, _, _, _ in out]
-        return {"key": longs(np.concatenate([o[0] for o in out])), "cls": longs(np.repeat(np.array([o[1] for o in out], U), times)), "n": np.repeat([o[2] for o in out], times), "rare": np.repeat(np.array([o[3] for o in out], np.int32), times)}
-
-    return map_batches(docs, run, "key long, cls long, n long, rare int")
-
-
-def only(df: DataFrame, column: int, bitmap: Bitmap) -> DataFrame:
-    """Rows whose hash may be in the bitmap."""
-    sent = df.sparkSession.sparkContext.broadcast((bitmap.bits, bitmap.cells.tobytes()))
-
-    def run(batches):
-        has = Bitmap(*sent.value).has
-        for batch in batches:
-            yield batch.filter(pa.array(has(batch.column(column).to_numpy().view(U))))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def sets_of(docs: DataFrame, width: int, classes: DataFrame) -> DataFrame:
-    """cls, own (its shingles): of the classes in ``classes`` (cls), a row each."""
-    bitmap = bitmap_of(classes.select("cls", F.lit(1).alias("n")), CLASS_BITS)
-    sent = docs.sparkSession.sparkContext.broadcast((bitmap.bits, bitmap.cells.tobytes()))
-
-    def run(batches):
-        bits = Bitmap(*sent.value)
-        seen: set[int] = set()
-        for batch in batches:
-            for part in chunks(batch, bits, seen):
-                yield part
-
-    def chunks(batch, bits, seen) -> Iterator[dict]:
-        cls, sets, size = [], [], 0
-        for _, text in texts_of(batch):
-            own = shingles(text, width)
-            c = digest(own)[0]
-            if len(own) and c not in seen and bits.has(np.array([c], U))[0]:
-                if len(seen) < 1 << 20:
-                    seen.add(c)
-                cls.append(c)
-                sets.append(own.tobytes())
-                size += len(own)
-                if size >= 1 << 20:
-                    yield {"cls": longs(cls), "own": sets}
-                    cls, sets, size = [], [], 0
-        if cls:
-            yield {"cls": longs(cls), "own": sets}
+        times = [len(o[0]) for o in out]
+        return {"key": longs(np.concatenate([o[0] for o in out])), "cls": np.repeat([o[1] for o in out], times), "n": np.repeat([o[2] for o in out], times), "single": np.repeat(np.array([o[3] for o in out], np.int32), times)}
 
-    return map_batches(docs, run, "cls long, own binary").dropDuplicates(["cls"])
+    return map_batches(left.select("cls", "own"), run, "key long, cls long, n long, single int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -241,40 +276,92 @@ def pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(docs: DataFrame, width: int, percent: int, profiled: DataFrame) -> DataFrame:
-    """a, b: verified links between classes, enough to connect all that are linked."""
-    posted = stored(postings(docs, width, percent, frequent(profiled)), "postings")
-    shared = only(posted, 0, bitmap_of(posted.select("key", F.lit(1).alias("n")), INDEX_BITS, least=2))
-    shared = shared.groupBy("key", "cls").agg(F.min("n").alias("n"), F.min("rare").alias("rare"))
-    buckets = shared.groupBy("key").agg(F.min(F.struct("rare", "cls", "n")).alias("pivot"), F.count("*").alias("members"))
-    # Without unshared keys: those that only look shared to the bitmap go here.
-    shared = stored(shared.join(buckets.where("members > 1"), "key").select("key", "cls", "n", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "shared")
-    sets = stored(sets_of(docs, width, shared.select("cls").distinct()), "sets")
+def met(sets: list[np.ndarray], part: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different parts, as positions; of links that join the same parts, one."""
+    size = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for at in range(0, int(column.max()) + 1 if len(column) else 0, width):
+        some = (column >= at) & (column < at + width)
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[some], column[some] - at] = 1
+        common += m @ m.T  # whole numbers below 2 ** 24: exact
+    alike = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    a, b = np.nonzero(np.triu(alike & (part[:, None] != part[None, :]), 1))
+    group = {p: p for p in set(part.tolist())}
+
+    def top(p: int) -> int:
+        while group[p] != p:
+            group[p] = p = group[group[p]]
+        return p
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = top(int(part[i])), top(int(part[j]))
+        if p != q:
+            group[p] = q
+            out.append((i, j))
+    return out
+
+
+def family_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across parts among the members (key, cls, part) of large buckets, found in blocks of about 2 * BLOCK sets."""
+    first = large.groupBy("key").agg(F.min("cls").alias("b"))
+    family = connected(large.select("key", F.col("cls").alias("a")).join(first, "key").select("a", "b").distinct())
+    members = large.select("cls", "part").distinct().join(family, F.col("cls") == F.col("node")).select("cls", "part", F.col("label").alias("family"))
+    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(2)), "blocks").cast("int"))
+    # Block x meets block y once: in (least, greatest).
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cls", "part")
+
+    def meet(key, table):
+        cls = table.column("cls").to_numpy()
+        own = [np.frombuffer(x.as_buffer(), U) for x in table.column("own")]
+        found = met(own, table.column("part").to_numpy(), percent)
+        return pa.table({"a": pa.array([min(cls[i], cls[j]) for i, j in found], pa.int64()), "b": pa.array([max(cls[i], cls[j]) for i, j in found], pa.int64())})
+
+    return sent.join(sets.select("cls", "own"), "cls").groupBy("family", "x", "y").applyInArrow(meet, "a long, b long")
+
+
+def links(left: DataFrame, percent: int, classes: Classes) -> DataFrame:
+    """a, b: verified links between the sets (cls, n, own), enough to connect all that are linked."""
+    members = indexed(left, percent, classes)
+    buckets = members.groupBy("key").agg(F.min(F.struct("single", "cls", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    shared = stored(members.join(buckets, "key").select("key", "cls", "n", "members", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "shared")
 
     def alike(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     tried = stored(shared.where((F.col("cls") != F.col("pivot")) & alike("n", "pivot_n")).select(*pair("cls", "pivot")).distinct(), "tried")
-    stars = stored(verified(tried, sets, percent), "links")
+    stars = stored(verified(tried, left, percent), "links")
     labels = connected(stars)
-    placed = shared.select("key", "cls", "n").join(labels, shared["cls"] == labels["node"], "left").select("key", "cls", "n", F.coalesce("label", "cls").alias("part"))
+    placed = shared.select("key", "cls", "n", "members").join(labels, shared["cls"] == labels["node"], "left").select("key", "cls", "n", "members", F.coalesce("label", "cls").alias("part"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    open_ = placed.join(mixed, "key")
-    one, two = open_, open_.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
+    open_ = stored(placed.join(mixed, "key"), "open")
+    one = open_.where(F.col("members") <= SMALL)
+    two = one.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
     rest = one.join(two, "key").where((F.col("part") < F.col("part2")) & alike("n", "n2")).select(*pair("cls", "cls2")).distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti")
-    return stars.union(stored(verified(rest, sets, percent), "links"))
+    large = family_links(open_.where(F.col("members") > SMALL), left, percent)
+    return stars.union(stored(verified(rest, left, percent).union(large), "links"))
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach), class_id: a row for each row of ``docs``."""
     slim = id_text(docs, id_col, text_col)
-    profiled = stored(profile(slim, width), "profile")
-    rows = profiled.where("kind = 0")
-    labels = connected(links(slim, width, percent, profiled))
-    classes = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("first"))
-    parts = classes.join(labels, classes["h"] == labels["node"], "left").select("h", "first", F.coalesce("label", "h").alias("part"))
-    named = parts.join(parts.groupBy("part").agg(F.min("first").alias("component_id")), "part").select(F.col("h").alias("cls"), "component_id", F.col("first").alias("class_id"))
-    full = rows.join(named, (rows["h"] == named["cls"]) & (rows["n"] > 0), "left")
+    low = low_counts(slim, width)
+    scan = stored(scanned(slim, width, percent, Classes(low)), "scan")
+    rows = scan.where("own IS NULL").select("doc_id", "cls", "n")
+    # One row per class: tasks that met the same class each sent its set.
+    left = stored(scan.where("own IS NOT NULL").select("cls", "n", "own").dropDuplicates(["cls"]), "sets")
+    labels = connected(links(left, percent, Classes(low, high_counts(left))))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
+    parts = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "first", F.coalesce("label", "cls").alias("part"))
+    named = parts.join(parts.groupBy("part").agg(F.min("first").alias("component_id")), "part").select(F.col("cls").alias("of"), "component_id", F.col("first").alias("class_id"))
+    full = rows.join(named, (rows["cls"] == named["of"]) & (rows["n"] > 0), "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
