@@ -183,10 +183,55 @@ def test_signatures_meet_wherever_sets_are_alike():
         for bitmap, of in ((shared, both), (frequent, both[r.random(len(both)) < r.random()])):
             at = (mix(of) >> np.uint64(64 - bitmap.bits)).astype(np.int64)
             np.bitwise_or.at(bitmap.cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        a, b = (jaccard.signatures(s, shared, frequent, percent)[0] for s in (x, y))
+        classes = jaccard.Classes((shared, frequent), (shared, frequent))
+        a, b = (jaccard.signatures(s, classes, percent)[0] for s in (x, y))
         assert len(np.intersect1d(a, b)), trial
 
 
+def test_blocks_find_links_across_parts():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(120) < 0.97], r.integers(0, 2**63, int(r.integers(0, 15)), dtype=np.uint64)])) for _ in range(60)]
+    part = np.arange(60) // 2
+    want = {p: p for p in range(30)}
+
+    def top(p):
+        while want[p] != p:
+            p = want[p]
+        return p
+
+    for i in range(60):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                want[top(part[i])] = top(part[j])
+    got = {p: p for p in range(30)}
+    found = jaccard.met(sets, part, 85)
+    for i, j in found:
+        a, b = part[i], part[j]
+        while got[a] != a:
+            a = got[a]
+        while got[b] != b:
+            b = got[b]
+        assert a != b
+        got[a] = b
+
+    def root(d, p):
+        while d[p] != p:
+            p = d[p]
+        return p
+
+    assert all((root(got, i) == root(got, j)) == (top(i) == top(j)) for i in range(30) for j in range(30))
+
+
+def test_jaccard_with_families(docs, monkeypatch):
+    """Large buckets by blocks, and everything by pairs: the same components."""
+    want = sorted_rows(jaccard.components(docs, 4, 85).select("doc_id", "component_id").collect())
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    assert sorted_rows(jaccard.components(docs, 4, 85).select("doc_id", "component_id").collect()) == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.node: r.label for r in graph.connected(edges).collect()}
@@ -480,3 +525,15 @@ def test_queries_are_registered():
 
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", queries.ORACLE)
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, DATA).select(*want.columns)
+    assert got.columns == queries.QUERIES[name](spark, DATA).columns
+    assert sorted_rows(got.collect()) == sorted_rows(want.fetchall())
