@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .. import types
 from ..catalog import Catalog, Ref
 from ..errors import AlreadyExists, Conflict, Invalid, NotFound, OutOfRange, Precondition, Unsupported
-from ..sources.storage import Versions
 
 
 class Writer:
