@@ -30,6 +30,8 @@ BITS = 18
 LABELLED = 20_000
 #: n-grams of the nominal document: the scale of importance against the noise.
 NOMINAL = 2000.0
+#: Units of a log ratio in sums.
+FIXED = 1 << 24
 
 
 def grams(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -98,16 +100,16 @@ def fit(docs: DataFrame, good: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, importance."""
-    model = docs.sparkSession.sparkContext.broadcast(ratio)
+    """doc_id, importance. Sums are of whole numbers, so they don't depend on how rows are batched."""
+    model = docs.sparkSession.sparkContext.broadcast(np.round(ratio * FIXED).astype(np.int64))
 
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for row, h, ends in grams(batch):
-                total = np.concatenate([[0.0], np.cumsum(model.value[h])])
+                total = np.concatenate([[0], np.cumsum(model.value[h])])
                 starts = np.concatenate([[0], ends[:-1]])
-                out[row : row + len(ends)] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1) * NOMINAL
+                out[row : row + len(ends)] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1) * (NOMINAL / FIXED)
             yield {"doc_id": batch.column(0), "importance": np.round(out, 6)}
 
     return map_batches(docs, run, "doc_id long, importance double")

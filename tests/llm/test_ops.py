@@ -269,6 +269,7 @@ def test_rans_round_trips_and_notices_damage():
     with pytest.raises(ValueError):
         rans.decode(b"nothing" * 9)
     assert (rans.decode(rans.encode(np.full(999, 7, "<u4"))) == 7).all()
+    ids = ids[: 4 * 16384]  # whole blocks
     p = np.bincount(ids) / len(ids)
     p = p[p > 0]
     bits = 8 * (len(rans.encode(ids)) - 6 * len(p)) / len(ids)  # without the table
