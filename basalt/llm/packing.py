@@ -34,28 +34,46 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
     """Deal ``sizes`` into at most ``k`` groups of near-equal sums: each group is a list of positions.
 
-    Merging keeps only groups in use; a partition with fewer than ``k`` has emptiness as its least sum.
+    Merging keeps only groups in use; a partition with fewer than ``k`` has emptiness as its least sum, so its
+    imbalance is its largest group. Such a partition takes grains, in descending order, until another
+    partition's imbalance is larger than the next grain's; those merges go in one step.
     """
     order = np.argsort(-sizes, kind="stable")
-    heap = [(-int(sizes[i]), int(n), np.array([sizes[i]]), [[int(i)]]) for n, i in enumerate(order)]
-    heapq.heapify(heap)
-    n = len(heap)
-    while len(heap) > 1:
-        _, _, a, a_groups = heapq.heappop(heap)
-        _, _, b, b_groups = heapq.heappop(heap)
-        if len(a) < len(b):
-            a, a_groups, b, b_groups = b, b_groups, a, a_groups
-        over = max(0, len(a) + len(b) - k)  # so many groups of b go onto groups of a: b's fullest, a's emptiest
-        sums = np.concatenate([a, b[over:]])
-        groups = a_groups + b_groups[over:]
-        for j in range(over):
-            at = len(a) - 1 - j
-            sums[at] += b[j]
-            groups[at] = a_groups[at] + b_groups[j]
+    grains = sizes[order]
+    n, at, born = len(order), 0, 0
+    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = []  # imbalance (negated), age, sums descending, groups
+
+    def push(sums: np.ndarray, groups: list[list[int]]) -> None:
+        nonlocal born
         by = np.argsort(-sums, kind="stable")
-        sums, groups = sums[by], [groups[i] for i in by]
-        n += 1
-        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), n, sums, groups))
+        sums, born = sums[by], born + 1
+        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), born, sums, [groups[i] for i in by]))
+
+    while at < n or len(heap) > 1:
+        if at < n and (not heap or grains[at] >= -heap[0][0]):
+            sums, groups = np.empty(0, sizes.dtype), []
+        else:
+            _, _, sums, groups = heapq.heappop(heap)
+        other = -heap[0][0] if heap else -1
+        if at < n and grains[at] >= other and len(sums) < k:
+            stop = at + int(np.searchsorted(-grains[at : at + k - len(sums)], -other, "right"))
+            groups = groups + [[int(i)] for i in order[at:stop]]
+            sums, at = np.concatenate([sums, grains[at:stop]]), stop
+        else:
+            if at < n and grains[at] >= other:
+                b, b_groups, at = grains[at : at + 1], [[int(order[at])]], at + 1
+            else:
+                _, _, b, b_groups = heapq.heappop(heap)
+            if len(sums) < len(b):
+                sums, groups, b, b_groups = b, b_groups, sums, groups
+            over = max(0, len(sums) + len(b) - k)  # so many of b's fullest go onto the emptiest of the other
+            place = len(sums) - 1 - np.arange(over)
+            groups = groups + b_groups[over:]
+            for j, i in enumerate(place.tolist()):
+                groups[i] = groups[i] + b_groups[j]
+            sums = np.concatenate([sums, b[over:]])
+            sums[place] += b[:over]
+        push(sums, groups)
     return heap[0][3] if heap else []
 
 

@@ -49,6 +49,7 @@ class Encoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
+        self.old_piece: dict[str, bytes] = {}
         self.plain = re.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ]*").fullmatch
         self.cuts = re.compile(r"(?<=\S)(?= )").split
 
@@ -58,10 +59,12 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         got = self.piece.get(piece)
         if got is None:
-            shown = piece.encode().decode("latin-1").translate(self.alphabet)
-            got = packed([t.id for t in self.model.tokenize(shown)])
+            got = self.old_piece.get(piece)
+            if got is None:
+                shown = piece.encode().decode("latin-1").translate(self.alphabet)
+                got = packed([t.id for t in self.model.tokenize(shown)])
             if len(self.piece) >= self.room:
-                self.piece.clear()
+                self.old_piece, self.piece = self.piece, {}
             self.piece[piece] = got
         return got
 
