@@ -106,9 +106,6 @@ class Bitmap:
         return (self.cells[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-SLICES = 8  # 2 ** SLICES slices of a bitmap, each made by one task
-
-
 def bitmap_of(hashes: DataFrame, bits: int, least: int = 1) -> Bitmap:
     return bitmaps_of(hashes, [(bits, least)])[0]
 
@@ -121,8 +118,9 @@ def bitmaps_of(hashes: DataFrame, wanted: list[tuple[int, int]]) -> list[Bitmap]
     2 ** (bits - 3) bytes, whatever the size of the input.
     """
     name, count = hashes.columns[:2]
-    dealt = hashes.withColumn("slice", F.shiftrightunsigned(name, 64 - SLICES).cast("int"))
-    parts = max(1, min(1 << SLICES, int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = min(16, max(8, parts.bit_length() + 2))  # 2 ** fine slices: a few for each task of a shuffle
+    dealt = hashes.withColumn("slice", F.shiftrightunsigned(name, 64 - fine).cast("int"))
 
     def build(batches):
         held = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -134,15 +132,20 @@ def bitmaps_of(hashes: DataFrame, wanted: list[tuple[int, int]]) -> list[Bitmap]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         h, c = h[first], np.add.reduceat(c, first)
         for k, (bits, least) in enumerate(wanted):
-            at, width = (h[c >= least] >> np.uint64(64 - bits)).astype(np.int64), bits - SLICES
-            for s in np.unique(at >> width):
-                cells = np.zeros(1 << width, bool)
-                cells[at[at >> width == s] & ((1 << width) - 1)] = True
-                yield {"k": [k], "slice": [int(s)], "cells": [np.packbits(cells, bitorder="little").tobytes()]}
+            at, width = np.unique(h[c >= least] >> np.uint64(64 - bits)).astype(np.int64), bits - fine
+            slices, first = np.unique(at >> width, return_index=True)
+            step = max(1, (1 << 24) >> width)  # 16 million cells at a time
+            for j in range(0, len(slices), step):
+                some = slices[j : j + step]
+                own = at[first[j] : first[j + step] if j + step < len(slices) else len(at)]
+                cells = np.zeros((len(some), 1 << width), bool)
+                cells[np.searchsorted(some, own >> width), own & ((1 << width) - 1)] = True
+                packed = np.packbits(cells, axis=1, bitorder="little")
+                yield {"k": np.full(len(some), k, np.int32), "slice": some.astype(np.int32), "cells": [x.tobytes() for x in packed]}
 
     made = map_batches(dealt.repartition(parts, "slice").select(name, count), build, "k int, slice int, cells binary")
     out = [np.zeros(1 << (bits - 3), np.uint8) for bits, _ in wanted]
     for row in made.toLocalIterator(prefetchPartitions=True):
-        each = 1 << (wanted[row.k][0] - SLICES - 3)
+        each = 1 << (wanted[row.k][0] - fine - 3)
         out[row.k][row.slice * each : (row.slice + 1) * each] = np.frombuffer(row.cells, np.uint8)
     return [Bitmap(bits, cells.tobytes()) for (bits, _), cells in zip(wanted, out, strict=True)]

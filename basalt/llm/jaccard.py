@@ -47,7 +47,8 @@ FREQUENT = 16
 COUNTED = np.uint64(1 << 62)
 #: Shingles counted at a time by a task.
 CHUNK = 1 << 22
-SHARED_BITS, FREQUENT_BITS = 28, 25
+#: Bits of a bitmap for a session of one shuffle partition; a session for more data has more of both.
+LEAST_BITS, MOST_BITS = 18, 30
 #: Members of a bucket that are paired one by one; sets in a block.
 SMALL, BLOCK = 24, 512
 #: From sets of 2 ** 4 shingles on, frequent shingles pair up; smaller sets index them singly.
@@ -70,6 +71,12 @@ def longs(values) -> pa.Array:
     return pa.array(signed(np.asarray(values, U)))
 
 
+def wanted(docs: DataFrame) -> list[tuple[int, int]]:
+    """(bits, least count) of the bitmaps: of fixed size whatever the rows, at most 2 ** 27 bytes."""
+    bits = min(MOST_BITS, LEAST_BITS + int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length())
+    return [(bits, 2), (bits - 2, FREQUENT)]
+
+
 def counted(batches, read) -> Iterator[dict]:
     """(hash, times) of the shingles that ``read`` takes from batches; CHUNK of them at a time."""
     held, size = [], 0
@@ -145,7 +152,7 @@ def low_counts(docs: DataFrame, width: int) -> tuple[Bitmap, Bitmap]:
 
         yield from counted(batches, read)
 
-    return tuple(bitmaps_of(map_batches(docs, run, "h long, n int"), [(SHARED_BITS, 2), (FREQUENT_BITS, FREQUENT)]))
+    return tuple(bitmaps_of(map_batches(docs, run, "h long, n int"), wanted(docs)))
 
 
 def high_counts(left: DataFrame) -> tuple[Bitmap, Bitmap]:
@@ -159,12 +166,11 @@ def high_counts(left: DataFrame) -> tuple[Bitmap, Bitmap]:
 
         yield from counted(batches, read)
 
-    return tuple(bitmaps_of(map_batches(left.select("own"), run, "h long, n int"), [(SHARED_BITS, 2), (FREQUENT_BITS, FREQUENT)]))
+    return tuple(bitmaps_of(map_batches(left.select("own"), run, "h long, n int"), wanted(left)))
 
 
-def scanned(docs: DataFrame, width: int, percent: int, classes: Classes) -> DataFrame:
+def scanned(docs: DataFrame, width: int, percent: int, sent) -> DataFrame:
     """A row per document (own null): doc_id, cls, n; and per class that may have a partner: cls, n, own."""
-    sent = classes.sent(docs.sparkSession)
 
     def run(batches):
         known, seen = Classes.got(sent.value), Seen()
@@ -228,9 +234,8 @@ def signatures(own: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndar
     return np.unique(np.concatenate(keys)), 1000 * unique // n
 
 
-def indexed(left: DataFrame, percent: int, classes: Classes) -> DataFrame:
+def indexed(left: DataFrame, percent: int, sent) -> DataFrame:
     """key, cls, n, single: a row for each index key of each set."""
-    sent = classes.sent(left.sparkSession)
 
     def run(batches):
         known = Classes.got(sent.value)
@@ -329,10 +334,13 @@ def family_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(left: DataFrame, percent: int, classes: Classes) -> DataFrame:
     """a, b: verified links between the sets (cls, n, own), enough to connect all that are linked."""
-    members = indexed(left, percent, classes)
+    sent = classes.sent(left.sparkSession)
+    members = indexed(left, percent, sent)
     buckets = members.groupBy("key").agg(F.min(F.struct("single", "cls", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
     shared = stored(members.join(buckets, "key").select("key", "cls", "n", "members", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "shared")
 
+    sent.destroy()
+
     def alike(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -355,7 +363,9 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     """doc_id, n_shingles, component_id (the smallest id that links reach), class_id: a row for each row of ``docs``."""
     slim = id_text(docs, id_col, text_col)
     low = low_counts(slim, width)
-    scan = stored(scanned(slim, width, percent, Classes(low)), "scan")
+    sent = Classes(low).sent(slim.sparkSession)
+    scan = stored(scanned(slim, width, percent, sent), "scan")
+    sent.destroy()
     rows = scan.where("own IS NULL").select("doc_id", "cls", "n")
     # One row per class: tasks that met the same class each sent its set.
     left = stored(scan.where("own IS NOT NULL").select("cls", "n", "own").dropDuplicates(["cls"]), "sets")
