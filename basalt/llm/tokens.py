@@ -32,7 +32,7 @@ def packed(ids: list[int]) -> bytes:
 class Encoder:
     """ids of a text as bytes, little-endian unsigned 32-bit; ``path`` is a file of the tokenizers library."""
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
