@@ -5,9 +5,10 @@ clockwise. No shard takes more than its bound: with a slack of 0 the bounds are
 counts differ by one at most; with a slack of e they are (1 + e) times the mean, and fewer keys move
 when a shard joins. Keys that overflow a full shard continue clockwise to the next that has room.
 
-The walk needs counts only. Keys are counted by cell (a fine, equal division of the ring, a few thousand
-rows each), the walk runs over cells in ring order and gives each cell quotas: its first so many rows
-go to its own shard, the next to another. A cell's rows are then numbered by themselves, so neither a
+The walk needs counts only. Keys are counted by cell: the ring is cut after each virtual node's place, so that
+a cell belongs to one point whole, and into equal divisions of a few thousand rows. The walk runs over cells in
+ring order and gives each cell quotas: its first so many rows go to its own shard, the next to another. Rows are
+numbered in ring order too, so finer divisions give every key the same shard. A cell's rows are then numbered by themselves, so neither a
 shard nor the whole ring is ever in one task. Quotas are deterministic, so a rerun gives the same shards.
 """
 
@@ -32,7 +33,10 @@ def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
 
 
 def walk(counts: dict[int, int], bits: int, shards: int, slack: float = 0.0) -> list[tuple[int, int, int, int]]:
-    """(cell, first row, shard, first slot) for cells with rows, in order. A cell belongs to the point at or after its end."""
+    """(cell, first row, shard, first slot) for cells with rows, in order. A cell belongs to the point at or after its end.
+
+    Cells are numbered by their ends in units of 2 ** (64 - bits); with 64 bits a cell's number is its last place.
+    """
     points = ring(shards)
     places = [p for p, _ in points]
     total = sum(counts.values())
@@ -64,6 +68,22 @@ def walk(counts: dict[int, int], bits: int, shards: int, slack: float = 0.0) ->
     return sorted(plan)
 
 
+def _signed(place: int) -> int:
+    return place - (1 << 64) if place >> 63 else place
+
+
+def in_cells(keys: DataFrame, bits: int, shards: int) -> DataFrame:
+    """``keys`` and the last place of each one's cell: its next point, or the end of its 2 ** -bits of the ring if that is sooner."""
+    near: dict[int, list[int]] = {}
+    for p, _ in ring(shards):
+        near.setdefault(p >> (64 - bits), []).append(_signed(p))
+    points = keys.sparkSession.createDataFrame([(c, sorted(x)) for c, x in near.items()], "division long, points array<long>")
+    end = F.col("place").bitwiseOR(F.lit((1 << (64 - bits)) - 1))
+    after = F.get(F.filter("points", lambda p: p >= F.col("place")), F.lit(0))  # all of one sign: a division doesn't cross 2 ** 63
+    held = keys.withColumn("division", F.shiftrightunsigned("place", 64 - bits)).join(F.broadcast(points), "division", "left")
+    return held.withColumn("cell", F.coalesce(after, end)).drop("division", "points")
+
+
 def ring_shards(docs: DataFrame, shards: int, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes and 8), text_crc32, law, shard, slot and grown_shard, a row for each row of ``docs``.
 
@@ -75,10 +95,10 @@ def ring_shards(docs: DataFrame, shards: int, slack: float = 0.0, id_col: str =
     keys = id_text(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("doc_id", F.lit(10)).alias("place"))
     keys = stored(keys, "ring-keys")  # slim: the texts are read once
     total = keys.count()
-    bits = min(20, max(8, (total // CELL_ROWS).bit_length()))
-    keys = keys.withColumn("cell", F.shiftrightunsigned("place", 64 - bits))
-    counts = {r.cell: r.n for r in keys.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()}
-    plan = spark.createDataFrame(walk(counts, bits, shards, slack) or [(0, 0, 0, 0)], "cell long, first long, shard int, slot0 long")
+    bits = min(20, max(8, (shards * VNODES).bit_length(), (total // CELL_ROWS).bit_length()))
+    keys = in_cells(keys, bits, shards)
+    counts = {r.cell & (1 << 64) - 1: r.n for r in keys.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()}
+    plan = spark.createDataFrame([(_signed(cell), *rest) for cell, *rest in walk(counts, 64, shards, slack)] or [(0, 0, 0, 0)], "cell long, first long, shard int, slot0 long")
     quotas = plan.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("first", "shard", "slot0"))).alias("quotas"))
     order = Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")
     numbered = keys.withColumn("nth", F.row_number().over(order).cast("long") - 1).join(quotas, "cell")
@@ -90,7 +110,7 @@ def ring_shards(docs: DataFrame, shards: int, slack: float = 0.0, id_col: str =
 
 
 def moved(counts: dict[int, int], bits: int, shards: int, slack: float) -> float:
-    """The share of rows whose shard differs once there is one shard more."""
+    """The share of rows whose shard differs once there is one shard more; exact if cells are cut for the larger ring."""
     total = sum(counts.values())
 
     def spans(n):

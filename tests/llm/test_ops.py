@@ -495,6 +495,27 @@ def test_ring_moves_little_and_keeps_its_bounds():
     assert sharding.moved(counts, 12, 24, 0.1) < 0.35
 
 
+def test_keys_go_to_their_next_point(spark, docs, monkeypatch):
+    points = sharding.ring(24)
+    place = {r.doc_id: r.place & (1 << 64) - 1 for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(10)).alias("place")).collect()}
+    for r in sharding.ring_shards(docs, 24, 23.0).collect():  # room for all rows in any shard
+        assert r.shard == next((s for p, s in points if p >= place[r.doc_id]), points[0][1])
+
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = lambda: sorted_rows(r[:-1] for r in sharding.ring_shards(many, 24).collect())
+    coarse = rows()
+    monkeypatch.setattr(sharding, "CELL_ROWS", 1)  # cells as fine as in a table of far more rows
+    assert rows() == coarse
+
+
+def test_movement_is_counted_in_rows(spark):
+    keys = spark.range(3000).select("id", F.xxhash64("id", F.lit(10)).alias("place"))
+    counts = lambda bits: {r.cell & (1 << 64) - 1: r["count"] for r in sharding.in_cells(keys, bits, 25).groupBy("cell").count().collect()}
+    owners = [[next((s for p, s in sharding.ring(n) if p >= r.place & (1 << 64) - 1), sharding.ring(n)[0][1]) for r in keys.collect()] for n in (24, 25)]
+    assert sharding.moved(counts(8), 64, 24, 24.0) == pytest.approx(np.mean(np.array(owners[0]) != np.array(owners[1])))
+    assert sharding.moved(counts(8), 64, 24, 0.0) == pytest.approx(sharding.moved(counts(13), 64, 24, 0.0))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
