@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, stored
+from .common import id_text, map_batches, mark, stored
 
 BITS = 18
 LABELLED = 20_000
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, good: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, importance. Sums are of whole numbers, so they don't depend on how rows are batched."""
+    """doc_id, importance, and what strings follow the text. Sums are of whole numbers, so they don't depend on how rows are batched."""
     model = docs.sparkSession.sparkContext.broadcast(np.round(ratio * FIXED).astype(np.int64))
 
     def run(batches):
@@ -110,9 +110,10 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 total = np.concatenate([[0], np.cumsum(model.value[h])])
                 starts = np.concatenate([[0], ends[:-1]])
                 out[row : row + len(ends)] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1) * (NOMINAL / FIXED)
-            yield {"doc_id": batch.column(0), "importance": np.round(out, 6)}
+            yield {"doc_id": batch.column(0), "importance": np.round(out, 6)} | {c: batch.column(k) for k, c in enumerate(also, 2)}
 
-    return map_batches(docs, run, "doc_id long, importance double")
+    also = docs.columns[2:]
+    return map_batches(docs, run, ", ".join(["doc_id long", "importance double", *[f"{c} string" for c in also]]))
 
 
 def level_of(good: np.ndarray, other: np.ndarray) -> float:
@@ -126,11 +127,11 @@ def level_of(good: np.ndarray, other: np.ndarray) -> float:
     return float(cuts[at] if at == 0 else (cuts[at - 1] + cuts[at]) / 2)
 
 
-def classify(docs: DataFrame, labels: DataFrame, seed: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, importance, key, kept: a row for each row of ``docs``."""
+def classify(docs: DataFrame, labels: DataFrame, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
+    """doc_id, importance, key, kept, and the row's mark if wanted: a row for each row of ``docs``."""
     slim = id_text(docs, id_col, text_col)
     good, other = labelled(labels)
-    scored = score(slim, fit(slim, good))
+    scored = score(slim.withColumn("mark", mark()) if marks else slim, fit(slim, good))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     scored = stored(scored.withColumn("key", F.col("importance") - F.log(-F.log(uniform))), "importance")
     both = np.concatenate([good, other])  # at most 2 * LABELLED

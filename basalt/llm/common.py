@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Pattern of the white space that separates words.
@@ -71,6 +71,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def mark(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a row's verdict is carried by: its id and the SHA-256 of its text, never null. Only wholly equal ids and texts share one."""
+    digest = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), F.coalesce(digest, F.lit("-")))
+
+
+def numbered(docs: DataFrame, marks: Column) -> DataFrame:
+    """``docs`` with ``row_mark`` and ``row_nth``, a number from 1 among the rows of a mark, ordered by their other columns."""
+    rest = [docs[f.name] for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return docs.withColumn("row_mark", marks).withColumn("row_nth", F.row_number().over(Window.partitionBy("row_mark").orderBy(*rest)))
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that yield columns as a dict of arrays or lists, in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_text, stored
+from .common import SPACE, id_text, mark, numbered, stored
 
 #: Counters of the sketch: the bound of what is broadcast.
 TRACKED = 4096
@@ -24,15 +24,15 @@ TRACKED = 4096
 HEAVY = 64
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     bare = F.regexp_replace(text, SPACE + "+", "")
-    return id_text(docs, id_col, text_col).select("doc_id", F.char_length(text).cast("long").alias("n_chars"), F.sha2(bare.cast("binary"), 256).alias("text_sha256"))
+    return id_text(docs, id_col, text_col).select("doc_id", F.char_length(text).cast("long").alias("n_chars"), F.sha2(bare.cast("binary"), 256).alias("text_sha256"), *[mark().alias("mark")] * marks)
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id (the row that stays), group_size, kept, text_sha256: a row for each row of ``docs``."""
-    rows = stored(digests(docs, id_col, text_col), "digests")  # the texts are read once
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
+    """doc_id, keep_id (the row that stays), group_size, kept, text_sha256, and the row's mark if wanted: a row for each row of ``docs``."""
+    rows = stored(digests(docs, id_col, text_col, marks), "digests")  # the texts are read once
     sketch = rows.agg(F.expr(f"approx_top_k(text_sha256, {TRACKED // 4}, {TRACKED})").alias("top"))
     frequent = sketch.select(F.explode("top").alias("t")).where(F.col("t.count") >= HEAVY).select(F.col("t.item").alias("text_sha256"))
     # The order of "who stays" as one comparable value: most code points, then the smallest id, null last.
@@ -41,24 +41,28 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heavy = stored(heavy.select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size", "best"), "heavy")
 
     bounded = F.broadcast(heavy)
+    last = ["mark"] * marks
     one = rows.join(bounded, "text_sha256").withColumn("first", rank == F.col("best"))
     # Rows that equal the winner in id and length too: only one of them stays.
-    twins = Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1))
+    twins = Window.partitionBy("text_sha256", "doc_id").orderBy(*(last or [F.lit(1)]))
     winners = one.where("first").withColumn("kept", F.row_number().over(twins) == 1)
     settled = one.where("NOT first").withColumn("kept", F.lit(False)).unionByName(winners)
     group = Window.partitionBy("text_sha256")
-    ordered = group.orderBy(F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last())
+    ordered = group.orderBy(F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last(), *last)
     light = rows.join(bounded, "text_sha256", "left_anti").select(
         "doc_id",
         F.first("doc_id").over(ordered).alias("keep_id"),
         F.count("*").over(group).alias("group_size"),
         (F.row_number().over(ordered) == 1).alias("kept"),
         "text_sha256",
+        *last,
     )
-    return light.unionByName(settled.select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
+    return light.unionByName(settled.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *last))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Rows with the id of a row that stays stay with it; a null id goes unless its row stays."""
-    stays = duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays[id_col]), "left_semi")
+    """The rows of ``docs`` that stay, all columns: one of each group, whatever rows share its id."""
+    stays = duplicates(docs, id_col, text_col, marks=True).where("kept").select("mark")
+    # Twins are thinned before the join, and so before their texts are shuffled.
+    once = numbered(docs, mark(id_col, text_col)).where("row_nth = 1")
+    return once.join(stays, once["row_mark"] == stays["mark"]).select(*[once[c] for c in docs.columns])

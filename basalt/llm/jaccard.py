@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, bitmaps_of, id_text, map_batches, stored, texts_of
+from .common import Bitmap, bitmaps_of, id_text, map_batches, mark, stored, texts_of
 from .graph import connected
 from .hashing import mix, signed, windows, word_hashes
 
@@ -170,18 +170,19 @@ def high_counts(left: DataFrame) -> tuple[Bitmap, Bitmap]:
 
 
 def scanned(docs: DataFrame, width: int, percent: int, sent) -> DataFrame:
-    """A row per document (own null): doc_id, cls, n; and per class that may have a partner: cls, n, own."""
+    """A row per document (own null): doc_id, cls, n, and what string follows the text; and per class that may have a partner: cls, n, own."""
 
     def run(batches):
         known, seen = Classes.got(sent.value), Seen()
         for batch in batches:
             rows, size = [], 0
-            for doc, text in texts_of(batch):
+            marks = batch.column(2).to_pylist() if also else [None] * batch.num_rows
+            for (doc, text), name in zip(texts_of(batch), marks, strict=True):
                 own = shingles(text, width)
                 cls, n = digest(own)[0], len(own)
-                rows.append((doc, cls, n, None))
+                rows.append((doc, cls, n, None, name))
                 if n and seen.first(cls) and known.part(own)[0] <= n - least_overlap(n, percent):
-                    rows.append((None, cls, n, own.tobytes()))
+                    rows.append((None, cls, n, own.tobytes(), None))
                     size += n
                 if size >= 1 << 20:
                     yield columns(rows)
@@ -189,9 +190,10 @@ def scanned(docs: DataFrame, width: int, percent: int, sent) -> DataFrame:
             yield columns(rows)
 
     def columns(rows):
-        return {"doc_id": [r[0] for r in rows], "cls": longs([r[1] for r in rows]), "n": [r[2] for r in rows], "own": [r[3] for r in rows]}
+        return {"doc_id": [r[0] for r in rows], "cls": longs([r[1] for r in rows]), "n": [r[2] for r in rows], "own": [r[3] for r in rows]} | {c: [r[4] for r in rows] for c in also}
 
-    return map_batches(docs, run, "doc_id long, cls long, n long, own binary")
+    also = docs.columns[2:]
+    return map_batches(docs, run, ", ".join(["doc_id long, cls long, n long, own binary", *[f"{c} string" for c in also]]))
 
 
 def within(own: np.ndarray, listed: np.ndarray) -> np.ndarray:
@@ -359,19 +361,22 @@ def links(left: DataFrame, percent: int, classes: Classes) -> DataFrame:
     return stars.union(stored(verified(rest, left, percent).union(large), "links"))
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach), class_id: a row for each row of ``docs``."""
+def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach), class_id: a row for each row of ``docs``.
+
+    With ``marks`` also the row's mark and its part: ids may be null or shared, a part is one component (null without shingles).
+    """
     slim = id_text(docs, id_col, text_col)
     low = low_counts(slim, width)
     sent = Classes(low).sent(slim.sparkSession)
-    scan = stored(scanned(slim, width, percent, sent), "scan")
+    scan = stored(scanned(slim.withColumn("mark", mark()) if marks else slim, width, percent, sent), "scan")
     sent.destroy()
-    rows = scan.where("own IS NULL").select("doc_id", "cls", "n")
+    rows = scan.where("own IS NULL").select("doc_id", "cls", "n", *["mark"] * marks)
     # One row per class: tasks that met the same class each sent its set.
     left = stored(scan.where("own IS NOT NULL").select("cls", "n", "own").dropDuplicates(["cls"]), "sets")
     labels = connected(links(left, percent, Classes(low, high_counts(left))))
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     parts = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "first", F.coalesce("label", "cls").alias("part"))
-    named = parts.join(parts.groupBy("part").agg(F.min("first").alias("component_id")), "part").select(F.col("cls").alias("of"), "component_id", F.col("first").alias("class_id"))
+    named = parts.join(parts.groupBy("part").agg(F.min("first").alias("component_id")), "part").select(F.col("cls").alias("of"), "component_id", F.col("first").alias("class_id"), *["part"] * marks)
     full = rows.join(named, (rows["cls"] == named["of"]) & (rows["n"] > 0), "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), *["mark", "part"] * marks)

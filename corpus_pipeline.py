@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm import classifier, exact, jaccard, mixing, packing
-from basalt.llm.common import stored, table
+from basalt.llm.common import WORD, mark, numbered, stored, table
 from basalt.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample takes; rows that share an id share its decision."""
-    judged = classifier.classify(docs, table(spark, sf_dir, "labels"))
-    taken = judged.where("kept").select(F.col("doc_id").alias("taken_id")).distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]), "left_semi")
+    """Documents that the importance sample takes; rows of one id and text have one decision."""
+    judged = classifier.classify(docs, table(spark, sf_dir, "labels"), marks=True)
+    taken = judged.where("kept").select(F.col("mark").alias("taken_mark")).distinct()
+    return docs.join(taken, mark() == taken["taken_mark"], "left_semi")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of links (five words, 0.8) the document of the smallest id; texts without words all stay."""
-    found = jaccard.components(docs)
-    stays = found.where(F.col("component_id").eqNullSafe(F.col("doc_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("stays_id")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi")
+    """Of each component of links (five words, 0.8) the row of the smallest id (a null id last); texts without words all stay."""
+    found = jaccard.components(docs, marks=True)
+    first = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")).select(F.col("first.mark").alias("stays_mark"))
+    stays = first.union(found.where("n_shingles = 0").select("mark").distinct())
+    rows = numbered(docs, mark()).where((F.col("row_nth") == 1) | ~F.coalesce("text", F.lit("")).rlike(WORD))
+    return rows.join(stays, rows["row_mark"] == stays["stays_mark"]).select(*[rows[c] for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

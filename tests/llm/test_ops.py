@@ -516,6 +516,61 @@ def test_movement_is_counted_in_rows(spark):
     assert sharding.moved(counts(8), 64, 24, 0.0) == pytest.approx(sharding.moved(counts(13), 64, 24, 0.0))
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    """Planted rows of which a third have a null id, others share ids, and some are delivered thrice."""
+    some = [r for k, r in enumerate(ROWS) for _ in range(3 if k % 7 == 0 else 1)]
+    rows = [(None if k % 3 == 0 else r[0] // 2 if r[0] is not None and k % 5 == 0 else r[0], *r[1:]) for k, r in enumerate(some)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(4), rows
+
+
+def named(doc, text):
+    """A row's mark, in plain Python."""
+    return f"{'-' if doc is None else doc}:{'-' if text is None else hashlib.sha256(text.encode()).hexdigest()}"
+
+
+def test_quality_stage_decides_by_row(spark, shared_ids):
+    import corpus_pipeline as p
+
+    path = scratch_path(spark, "labelled")
+    labels = spark.createDataFrame([(10 + i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{path}/labels.parquet")
+    want = Counter(r.mark for r in classifier.classify(shared_ids[0], labels, marks=True).where("kept").collect())
+    assert 0 < sum(want.values()) < len(shared_ids[1])
+    assert Counter(named(r.doc_id, r.text) for r in p.quality(spark, shared_ids[0], path).collect()) == want
+
+
+def test_exact_stage_keeps_a_row_of_each_group(shared_ids, monkeypatch):
+    groups = defaultdict(list)
+    for doc, text, *_ in shared_ids[1]:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), doc is None, doc or 0, named(doc, text)))
+    want = sorted(min(members)[3] for members in groups.values())
+    assert sorted(named(r.doc_id, r.text) for r in exact.drop_copies(shared_ids[0]).collect()) == want
+    monkeypatch.setattr(exact, "HEAVY", 2)
+    assert sorted(named(r.doc_id, r.text) for r in exact.drop_copies(shared_ids[0]).collect()) == want
+
+
+def test_near_stage_keeps_a_row_of_each_component(spark, shared_ids):
+    import corpus_pipeline as p
+
+    words = [WORD.findall(lowered(r[1] or "")) for r in shared_ids[1]]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    part = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and part[i] != part[j] and 100 * len(a & b) >= 80 * len(a | b):
+                part = [part[j] if x == part[i] else x for x in part]
+    members, want = defaultdict(list), []
+    for (doc, text, *_), own, c in zip(shared_ids[1], sets, part, strict=True):
+        if own:
+            members[c].append((doc is None, doc or 0, named(doc, text)))
+        else:
+            want.append(named(doc, text))
+    want += [min(m)[2] for m in members.values()]
+    got = p.near_copies(spark, shared_ids[0], DATA)
+    assert got.columns == shared_ids[0].columns and sorted(named(r.doc_id, r.text) for r in got.collect()) == sorted(want)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
