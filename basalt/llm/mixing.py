@@ -16,10 +16,10 @@ the order is total but for rows equal in id and size, which are alike in the res
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, stored
+from .common import SPACE, WORD, mark, numbered, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -27,9 +27,15 @@ BLOCK = 32
 SHARD_WORDS = 1 << 20
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def source_mark(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Column:
+    """A row's mark with its source, never null."""
+    source = F.col(source_col).cast("string")
+    return F.concat(mark(id_col, text_col), F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
+
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", marks: bool = False) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), *[source_mark(id_col, text_col, source_col).alias("mark")] * marks)
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -77,9 +83,12 @@ def quotas(parties: DataFrame, weight: str, seats: str, group: list[str], tie: l
     return held.join(won, same, "left").withColumn("quota", F.col("sure") + F.coalesce("won", F.lit(0))).drop("exact", "sure", "near", "won", *[f"won_{k}" for k in keys])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, and where: ``rounds`` whole copies, then words [first, first + cut) and [0, wrapped)."""
-    slim = stored(sizes(docs, id_col, text_col, source_col), "sizes")  # the texts are read once
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", marks: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and where: ``rounds`` whole copies, then words [first, first + cut) and [0, wrapped).
+
+    With ``marks`` also the row's mark and nth, its number among the rows of its mark.
+    """
+    slim = stored(sizes(docs, id_col, text_col, source_col, marks), "sizes")  # the texts are read once
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(totals, weights, most)
     total_blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / BLOCK).cast("long")
@@ -95,7 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 20, id_c
         .select(F.col("source").alias("of_source"), F.col("shard").alias("of_shard"), "words", "n_blocks", "quota", F.when(F.col("n_blocks") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(seed)), "n_blocks")).otherwise(F.lit(0)).alias("from_block")),
         "shards",
     )
-    stand = Window.partitionBy("source", "shard").orderBy(F.xxhash64("spot", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stand = Window.partitionBy("source", "shard").orderBy(F.xxhash64("spot", F.lit(seed + 1)), "doc_id", "size", *["mark"] * marks).rowsBetween(Window.unboundedPreceding, -1)
     at = placed.withColumn("at", F.coalesce(F.sum("size").over(stand), F.lit(0).cast("long")))
     joined = at.join(parts, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")))
     joined = joined.withColumn("rounds", F.when(F.col("n_blocks") > 0, F.expr("quota DIV n_blocks")).otherwise(F.lit(0).cast("long"))).withColumn("rest", F.col("quota") - F.col("rounds") * F.col("n_blocks"))
@@ -105,17 +114,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 20, id_c
     zero = F.lit(0).cast("long")
     first = F.least(F.greatest(arc_from - F.col("at"), zero), F.col("size"))
     joined = joined.withColumn("first", first).withColumn("cut", F.greatest(F.least(end, arc_to) - F.col("at") - F.col("first"), zero)).withColumn("wrapped", F.greatest(F.least(end, wrap_to) - F.col("at"), zero))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("cut") + F.col("wrapped")).alias("taken"), "source", "rounds", "first", "cut", "wrapped")
+    nth = ["mark", F.row_number().over(Window.partitionBy("mark").orderBy("at")).alias("nth")] if marks else []
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("cut") + F.col("wrapped")).alias("taken"), "source", "rounds", "first", "cut", "wrapped", *nth)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix has them: a row per whole copy, and one per part with its words joined by blanks.
 
-    All columns of ``docs`` (doc_id, text, ...); rows that share an id share its plan.
+    All columns of ``docs`` (doc_id, text, ...); each row has its own plan, rows equal in id, text and source in turn.
     """
-    plan = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(*[F.max(c).alias(f"mix_{c}") for c in ("rounds", "first", "cut", "wrapped")])
-    plan = plan.withColumnRenamed("doc_id", "mix_doc_id")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["mix_doc_id"]))
+    plan = mix(docs, marks=True, **options).where("taken > 0").select(*[F.col(c).alias(f"mix_{c}") for c in ("mark", "nth", "rounds", "first", "cut", "wrapped")])
+    names = {c: options[c] for c in ("id_col", "text_col", "source_col") if c in options}
+    joined = numbered(docs, source_mark(**names)).join(plan, (F.col("row_mark") == F.col("mix_mark")) & (F.col("row_nth") == F.col("mix_nth")))
     words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
     size = F.regexp_count("text", F.lit(WORD))
     span = F.col("mix_cut") + F.col("mix_wrapped")
@@ -127,7 +137,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             F.when(F.col("mix_wrapped") > 0, F.array(F.array_join(F.slice(words, F.lit(1), F.col("mix_wrapped").cast("int")), " "))).otherwise(F.array().cast("array<string>")),
         )
     )
-    rows = joined.select(*[docs[c] for c in docs.columns], F.explode(wholes).alias("mix_part"))
+    rows = joined.select(*docs.columns, F.explode(wholes).alias("mix_part"))
     out = {c: F.col(c) for c in docs.columns} | {"text": F.coalesce("mix_part", "text")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("mix_part").isNotNull(), F.char_length("mix_part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

@@ -466,6 +466,24 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert out == {k: v for k, v in plan.items() if v}
 
 
+def test_mixed_documents_follow_each_rows_plan(shared_ids):
+    """Null ids, repeated ids and repeated rows: a row takes its own rounds and span, cut from its own words."""
+    docs, rows = shared_ids
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.source or "-")
+    want, texts = defaultdict(int), defaultdict(set)
+    for r in mixing.mix(docs).collect():
+        want[key(r)] += r.taken
+    for doc, text, _, source, _ in rows:
+        w = WORD.findall(text or "")
+        texts[doc is None, doc or 0, source or "-"].add(" ".join(w))
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        w = WORD.findall(r.text)
+        got[key(r)] += len(w)
+        assert any(" ".join(w) in t for t in texts[key(r)])
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_sharding(docs, none):
     got = sharding.ring_shards(docs, 24).collect()
     want = sorted_rows((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in ROWS)
