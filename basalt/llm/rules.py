@@ -1,9 +1,8 @@
 """Quality rules with adaptive thresholds, in DataFrame functions alone.
 
 Each document gets counts (words, symbols, repeated lines and phrases) and from them four ratios. KLL
-quantile sketches summarise every ratio for each (language, source); sketches of small sources are too
-coarse to judge by, so those are merged into their language's. A threshold is an outer fence of its
-group, quartile plus ``REACH`` interquartile ranges, where a range counts as ``SPREAD`` at least so that a
+quantile sketches summarise every ratio for each (language, source), whatever its size. A threshold is an
+outer fence of its group, quartile plus ``REACH`` interquartile ranges, where a range counts as ``SPREAD`` at least so that a
 group of like documents rejects none of them. The thresholds are joined back and filter the documents.
 
 A null text has no words and fails the base rule; null languages and sources are groups like others; each
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 from .common import SPACE, stored
 
 MIN_WORDS = 50
-#: A source of fewer documents is judged by its language's thresholds.
-OWN_DOCS = 400
 REACH = 3.0
 #: Ratio: the least interquartile range that counts.
 SPREAD = {"symbols": 0.03, "dup_lines": 0.10, "repeats": 0.12, "word_chars": 0.50}
@@ -69,16 +66,13 @@ def ratios() -> dict[str, Column]:
 def thresholds(measured: DataFrame) -> DataFrame:
     """lang, source, low_<ratio> and high_<ratio>: a row for each group of the table."""
     by = measured.select("lang", "source", *[c.cast("double").alias(k) for k, c in ratios().items()])
-    own = by.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in SPREAD])
-    whole = own.groupBy("lang").agg(*[F.kll_merge_agg_double(k).alias(f"lang_{k}") for k in SPREAD]).withColumnRenamed("lang", "of_lang")
-    both = own.join(whole, F.col("lang").eqNullSafe(F.col("of_lang")))
+    own = by.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(k, F.lit(SKETCH_K)).alias(k) for k in SPREAD])
     out = ["lang", "source"]
     for k, least in SPREAD.items():
-        sketch = F.when(F.col("n") >= OWN_DOCS, F.col(k)).otherwise(F.col(f"lang_{k}"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
+        q1, q3 = (F.kll_sketch_get_quantile_double(F.col(k), F.lit(q)) for q in (0.25, 0.75))
         reach = F.greatest(q3 - q1, F.lit(least)) * REACH
         out += [(q1 - reach).alias(f"low_{k}"), (q3 + reach).alias(f"high_{k}")]
-    return both.select(*out)
+    return own.select(*out)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -302,6 +302,15 @@ def test_rules_follow_each_source(spark):
     assert not got.pop(5000) and all(got.values())
 
 
+def test_rules_follow_small_sources(spark):
+    """A source has thresholds of its own at any size: 30 documents of tags among 900 of prose."""
+    r = random.Random(3)
+    text = lambda mark: " ".join(f"word{r.randrange(10**6)}{mark if r.random() < 0.8 else ''}" for _ in range(80))
+    rows = [(i, text(""), "en", "prose", 0) for i in range(900)] + [(1000 + i, text("#"), "en", "tags", 0) for i in range(30)] + [(5000, text("#"), "en", "prose", 0)]
+    got = {x.doc_id: x.kept for x in rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got.pop(5000) and all(got.values())
+
+
 def test_substrings(docs, none):
     for width in (35, 24):
         words = [WORD.findall(r[1] or "") for r in ROWS]
