@@ -217,6 +217,14 @@ def _range(t):
     return in_range(t("orders").select("o_orderkey", "o_totalprice"), bands, F.col("o_totalprice"), F.col("lo"), F.col("hi"), 500.0).select("o_orderkey", "lo")
 
 
+@frame("join_range_all", "SELECT o_orderkey, lo FROM {orders} JOIN (SELECT CAST(p_partkey * 1000 AS DOUBLE) AS lo, CAST(p_partkey * 1000 + 500 AS DOUBLE) AS hi FROM {part}) b ON o_totalprice >= lo AND o_totalprice < hi")
+def _range_all(t):
+    from ..operators.joins import in_range
+
+    bands = t("part").select((F.col("p_partkey") * 1000.0).alias("lo"), (F.col("p_partkey") * 1000.0 + 500.0).alias("hi"))
+    return in_range(t("orders").select("o_orderkey", "o_totalprice"), bands, F.col("o_totalprice"), F.col("lo"), F.col("hi"), 500.0).select("o_orderkey", "lo")
+
+
 # --- windows ---------------------------------------------------------------------------------------
 
 sql("win_rank_family", "SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER v AS BIGINT) AS rk, CAST(dense_rank() OVER v AS BIGINT) AS dr, ROUND(percent_rank() OVER v, 6) AS pr, ROUND(cume_dist() OVER v, 6) AS cd, CAST(ntile(4) OVER w AS BIGINT) AS nt FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderstatus)")
