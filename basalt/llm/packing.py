@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_batches, texts_of
+from .common import id_text, map_batches
 from .tokens import encoder
 
 WINDOW = 1024
 #: A remainder's grains: small enough that sums can be levelled, large enough to keep text together.
-GRAIN = 256
+GRAIN = 512
 #: Grains dealt at a time.
 POOL = 3072
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -106,8 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0,
     """
 
     def run(batches):
-        enc, dealer = encoder(tokenizer), Dealer(window)
-        end, base = np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36
+        enc, dealer, base = encoder(tokenizer), Dealer(window), TaskContext.get().partitionId() << 36
         made, pool, out = 0, [], []
 
         def flush():
@@ -117,35 +116,36 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0,
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids", "padded_to"] * with_ids
             return {n: pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, cols, strict=True)}
 
-        def add(piece, offset, total):
-            doc, start, ids, size = piece
-            row = (doc, start, len(ids) // 4, zlib.crc32(ids), size, base + made, offset)
+        def add(doc, start, ids, size, offset, total):
+            row = (doc, start, len(ids) >> 2, zlib.crc32(ids), size, base + made, offset)
             out.append((*row, ids, total if total & (total - 1) == 0 else window) if with_ids else row)
 
         def deal():
             nonlocal made, pool
-            for group in dealer(np.array([len(p[2]) // 4 for p in pool], np.int64)) if pool else []:
-                offset, total = 0, sum(len(pool[i][2]) // 4 for i in group)
+            for group in dealer(np.array([len(p[2]) >> 2 for p in pool], np.int64)) if pool else []:
+                offset, total = 0, sum(len(pool[i][2]) >> 2 for i in group)
                 for i in sorted(group):
-                    add(pool[i], offset, total)
-                    offset += len(pool[i][2]) // 4
+                    add(*pool[i], offset, total)
+                    offset += len(pool[i][2]) >> 2
                 made += 1
             pool = []
 
         for batch in batches:
-            for doc, text in texts_of(batch):
-                ids = enc.encode(text.decode()) + end
-                size = len(ids) // 4
-                whole = size // window * window
-                for start in range(0, whole, window):
-                    add((doc, start, ids[4 * start : 4 * (start + window)], size), 0, window)
-                    made += 1
-                for start in range(whole, size, GRAIN):
-                    pool.append((doc, start, ids[4 * start : 4 * min(start + GRAIN, size)], size))
-                if len(pool) >= POOL:
-                    deal()
-                if len(out) >= 8192:
-                    yield flush()
+            names = batch.column(0).to_pylist()
+            for row, block, ends in enc.blocks(batch.column(1), end_id):
+                raw, before = memoryview(block).cast("B"), 0
+                for doc, end in zip(names[row : row + len(ends)], ends.tolist(), strict=True):
+                    ids, size, before = raw[4 * before : 4 * end], end - before, end
+                    whole = size // window * window
+                    for start in range(0, whole, window):
+                        add(doc, start, bytes(ids[4 * start : 4 * (start + window)]), size, 0, window)
+                        made += 1
+                    for start in range(whole, size, GRAIN):
+                        pool.append((doc, start, bytes(ids[4 * start : 4 * min(start + GRAIN, size)]), size))
+                    if len(pool) >= POOL:
+                        deal()
+                    if len(out) >= 8192:
+                        yield flush()
         deal()
         if out:
             yield flush()

@@ -107,3 +107,8 @@ def decode(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
         place += seen[:, -1]
     got = symbols[out.reshape(-1)]
     return got[: max(0, min(n, last * block) - first * block)]
+
+
+def block_size(data: bytes) -> int:
+    """ids per block of a segment."""
+    return HEAD.unpack_from(data)[3]

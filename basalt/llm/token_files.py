@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import id_text, map_batches, texts_of
+from .common import id_text, map_batches
 from .tokens import encoder
 
 SEGMENT = 1 << 21
+#: A document of a segment: its id, whether that is null, its number of ids.
+INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<i8")])
 SEGMENTS = "shard int, segment int, n_docs long, n_tokens long, index binary, body binary"
 
 
@@ -32,24 +34,32 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: s
     placed = id_text(docs, id_col, text_col).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        enc, end, shard = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        ids, held, size, segment = [], [], 0, 0
+        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        ids, held, counts, segment = [], [], [], 0
 
         def flush():
-            nonlocal ids, held, size, segment
-            index = np.array([(i or 0, i is None, len(h) // 4) for i, h in zip(ids, held, strict=True)], np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]))
-            out = {"shard": [shard], "segment": [segment], "n_docs": [len(ids)], "n_tokens": [size], "index": [zlib.compress(index.tobytes(), 1)], "body": [rans.encode(np.frombuffer(b"".join(held), "<u4"))]}
-            ids, held, size, segment = [], [], 0, segment + 1
+            nonlocal ids, held, counts, segment
+            n = np.concatenate(counts)
+            index = np.array([(i or 0, i is None, k) for i, k in zip(ids, n.tolist(), strict=True)], INDEX)
+            out = {"shard": [shard], "segment": [segment], "n_docs": [len(ids)], "n_tokens": [int(n.sum())], "index": [zlib.compress(index.tobytes(), 1)], "body": [rans.encode(np.concatenate(held))]}
+            ids, held, counts, segment = [], [], [], segment + 1
             return out
 
         for batch in batches:
-            for doc, text in texts_of(batch):
-                got = enc.encode(text.decode()) + end
-                ids.append(doc)
-                held.append(got)
-                size += len(got) // 4
-                if size >= SEGMENT:
-                    yield flush()
+            names = batch.column(0).to_pylist()
+            for row, block, ends in enc.blocks(batch.column(1), end_id):
+                # Segments end with the first document that takes them past SEGMENT ids.
+                first, before = 0, 0
+                while first < len(ends):
+                    room = SEGMENT - sum(map(len, held))
+                    last = min(int(np.searchsorted(ends, before + room)) + 1, len(ends))
+                    ids += names[row + first : row + last]
+                    held.append(block[before : ends[last - 1]])
+                    counts.append(np.diff(ends[first:last], prepend=before))
+                    full = int(ends[last - 1]) - before >= room
+                    first, before = last, int(ends[last - 1])
+                    if full:
+                        yield flush()
         if ids:
             yield flush()
 
@@ -65,27 +75,50 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard, segment, _, n_tokens, index, body = (batch.column(i)[k].as_py() for i in range(6))
-                own = np.frombuffer(zlib.decompress(index), np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")]))
+                own = np.frombuffer(zlib.decompress(index), INDEX)
                 ids = rans.decode(body).astype("<u4")
                 if len(ids) != n_tokens:
                     raise ValueError(f"shard {shard}, segment {segment}: {len(ids)} of {n_tokens} ids")
-                ends = np.cumsum(own["n"].astype(np.int64))
+                ends = np.cumsum(own["n"])
                 raw = memoryview(ids.tobytes())
-                spans = [raw[4 * (e - int(n)) : 4 * e] for e, n in zip(ends.tolist(), own["n"], strict=True)]
+                spans = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), own["n"].tolist(), strict=True)]
                 out = {
                     "shard": np.full(len(own), shard, np.int32),
                     "segment": np.full(len(own), segment, np.int32),
                     "doc_id": [None if z else i for i, z in zip(own["id"].tolist(), own["null"].tolist(), strict=True)],
                     "within": ends - own["n"],
-                    "n_tokens": own["n"].astype(np.int64),
+                    "n_tokens": own["n"],
                     "ids_crc32": [zlib.crc32(s) for s in spans],
                 }
                 yield out | {"ids": [bytes(s) for s in spans]} if with_ids else out
 
-    # Offsets need the segments' sizes only: in each shard by a window, over shards from a row per shard.
+    return map_batches(segments, run, schema).join(starts_of(segments), ["shard", "segment"]).select("doc_id", (F.col("segment_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+
+
+def starts_of(segments: DataFrame) -> DataFrame:
+    """shard, segment, segment_start. Only sizes are read: in each shard a window, over shards a row per shard."""
     sizes = segments.select("shard", "segment", "n_tokens")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before.orderBy("shard")), F.lit(0)).alias("shard_start"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("shard", "segment", inside.alias("inside")).join(shards, "shard").select("shard", "segment", (F.col("inside") + F.col("shard_start")).alias("segment_start"))
-    return map_batches(segments, run, schema).join(starts, ["shard", "segment"]).select("doc_id", (F.col("segment_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return sizes.select("shard", "segment", inside.alias("inside")).join(shards, "shard").select("shard", "segment", (F.col("inside") + F.col("shard_start")).alias("segment_start"))
+
+
+def read_span(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """start, ids: the corpus's ids from ``first`` to before ``last``, a row per segment they lie in.
+
+    Other segments aren't read, and of these only the blocks that hold the span are decoded, from their checkpoints.
+    """
+    segments = spark.read.schema(SEGMENTS).parquet(path)
+    hit = starts_of(segments).where((F.col("segment_start") < last))
+    held = segments.join(hit, ["shard", "segment"]).where(F.col("segment_start") + F.col("n_tokens") > first).select("segment_start", "n_tokens", "body")
+
+    def run(batches):
+        for batch in batches:
+            for start, n, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                a, b = max(first - start, 0), min(last - start, n)
+                block = rans.block_size(body)
+                ids = rans.decode(body, a // block, -(-b // block)).astype("<u4")
+                yield {"start": [start + a], "ids": [ids[a % block : a % block + b - a].tobytes()]}
+
+    return map_batches(held, run, "start long, ids binary")

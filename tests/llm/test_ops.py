@@ -120,6 +120,9 @@ def test_packing(docs, none):
             assert offset == at
             at += n
         assert at <= 1024 and s[0][2] in (at, 1024)
+    # Little padding: a few windows beyond the least, for each of the five tasks.
+    total = sum(r.length for r in got)
+    assert len(sequences) <= 1.01 * total / 1024 + 2 * 5
     assert packing.pack(none, path).count() == 0
 
 
@@ -255,6 +258,17 @@ def test_token_files(spark, docs, none):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_a_span_is_read_from_its_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT", 30_000)
+    path = scratch_path(spark, "span")
+    token_files.write(docs, path, queries.vocabulary("word_bpe_49k.json"))
+    whole = b"".join(r.ids for r in token_files.read(spark, path, with_ids=True).orderBy("start").collect())
+    n = len(whole) // 4
+    for first, last in ((0, 1), (17, 40_000), (n - 5, n + 9), (n, n + 1), (5, 5), (0, n)):
+        got = token_files.read_span(spark, path, first, last).orderBy("start").collect()
+        assert b"".join(r.ids for r in got) == whole[4 * first : 4 * max(first, last)]
+
+
 def test_rans_round_trips_and_notices_damage():
     r = np.random.default_rng(2)
     for n in (0, 1, 63, 64, 16384, 16385, 70_000):
