@@ -41,40 +41,53 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
     order = np.argsort(-sizes, kind="stable")
     grains = sizes[order]
     n, at, born = len(order), 0, 0
-    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = []  # imbalance (negated), age, sums descending, groups
+    # A group is a grain (its position) or, from n on, two groups that met.
+    left, right, made = np.zeros(n, np.int64), np.zeros(n, np.int64), n
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # imbalance (negated), age, sums descending, groups
 
-    def push(sums: np.ndarray, groups: list[list[int]]) -> None:
+    def push(sums: np.ndarray, groups: np.ndarray) -> None:
         nonlocal born
         by = np.argsort(-sums, kind="stable")
         sums, born = sums[by], born + 1
-        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), born, sums, [groups[i] for i in by]))
+        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), born, sums, groups[by]))
 
     while at < n or len(heap) > 1:
         if at < n and (not heap or grains[at] >= -heap[0][0]):
-            sums, groups = np.empty(0, sizes.dtype), []
+            sums, groups = np.empty(0, sizes.dtype), np.empty(0, np.int64)
         else:
             _, _, sums, groups = heapq.heappop(heap)
         other = -heap[0][0] if heap else -1
         if at < n and grains[at] >= other and len(sums) < k:
             stop = at + int(np.searchsorted(-grains[at : at + k - len(sums)], -other, "right"))
-            groups = groups + [[int(i)] for i in order[at:stop]]
+            groups = np.concatenate([groups, order[at:stop]])
             sums, at = np.concatenate([sums, grains[at:stop]]), stop
         else:
             if at < n and grains[at] >= other:
-                b, b_groups, at = grains[at : at + 1], [[int(order[at])]], at + 1
+                b, b_groups, at = grains[at : at + 1], order[at : at + 1], at + 1
             else:
                 _, _, b, b_groups = heapq.heappop(heap)
             if len(sums) < len(b):
                 sums, groups, b, b_groups = b, b_groups, sums, groups
             over = max(0, len(sums) + len(b) - k)  # so many of b's fullest go onto the emptiest of the other
             place = len(sums) - 1 - np.arange(over)
-            groups = groups + b_groups[over:]
-            for j, i in enumerate(place.tolist()):
-                groups[i] = groups[i] + b_groups[j]
-            sums = np.concatenate([sums, b[over:]])
+            left[made - n : made - n + over], right[made - n : made - n + over] = groups[place], b_groups[:over]
+            groups, sums = np.concatenate([groups, b_groups[over:]]), np.concatenate([sums, b[over:]])
+            groups[place] = np.arange(made, made + over)
             sums[place] += b[:over]
+            made += over
         push(sums, groups)
-    return heap[0][3] if heap else []
+
+    def members(group: int) -> list[int]:
+        out, todo = [], [group]
+        while todo:
+            g = todo.pop()
+            if g < n:
+                out.append(g)
+            else:
+                todo += (int(right[g - n]), int(left[g - n]))
+        return out
+
+    return [members(g) for g in heap[0][3].tolist()] if heap else []
 
 
 class Dealer:
