@@ -78,9 +78,11 @@ def mark(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def numbered(docs: DataFrame, marks: Column) -> DataFrame:
-    """``docs`` with ``row_mark`` and ``row_nth``, a number from 1 among the rows of a mark, ordered by their other columns."""
-    rest = [docs[f.name] for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return docs.withColumn("row_mark", marks).withColumn("row_nth", F.row_number().over(Window.partitionBy("row_mark").orderBy(*rest)))
+    """row (all columns of ``docs`` as one record, so that no name clashes), row_mark and row_nth, a number from 1 among
+    the rows of a mark, ordered by their other columns."""
+    rest = [F.col("row")[f.name] for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), marks.alias("row_mark"))
+    return whole.withColumn("row_nth", F.row_number().over(Window.partitionBy("row_mark").orderBy(*rest)))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:

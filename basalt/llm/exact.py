@@ -65,4 +65,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays = duplicates(docs, id_col, text_col, marks=True).where("kept").select("mark")
     # Twins are thinned before the join, and so before their texts are shuffled.
     once = numbered(docs, mark(id_col, text_col)).where("row_nth = 1")
-    return once.join(stays, once["row_mark"] == stays["mark"]).select(*[once[c] for c in docs.columns])
+    return once.join(stays, once["row_mark"] == stays["mark"]).select("row.*")

@@ -11,7 +11,11 @@ third of the corpus has as many shards as it needs.
 All in DataFrame functions: quotients are ranked in a window over a few rows per source (or per shard).
 
 A null text has no words; a null source is the last source; rows of one id are documents of their own;
-the order is total but for rows equal in id and size, which are alike in the result too.
+the order is total but for rows equal in id and size, which are alike in the result too. A source without
+words has the target 0 and takes nothing; a corpus without words is a mix of nothing, with a row for each
+document; an empty table gives no rows. Extra columns, whatever their names, are ignored by ``mix`` and
+carried by ``mixed_documents``. A row per source and per shard is ranked in windows: their number, not that
+of the documents, bounds what one task holds.
 """
 
 from __future__ import annotations
@@ -66,9 +70,10 @@ def quotas(parties: DataFrame, weight: str, seats: str, group: list[str], tie: l
     share: those more than ``near`` below are won by any rule, those more than ``near`` above by none.
     """
     every = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    exact = F.col(weight) / F.sum(weight).over(every) * F.col(seats)
+    share = F.try_divide(F.col(weight).cast("double"), F.sum(F.col(weight).cast("double")).over(every))  # null in a group without weight: nobody wins a seat
+    exact = share * F.col(seats)
     # Half a seat a row is what rounding can leave over; a row's part of it is in proportion to its share.
-    near = F.ceil(F.count("*").over(every) * F.col(weight) / F.sum(weight).over(every)).cast("long") + 2
+    near = F.ceil(F.count("*").over(every) * share).cast("long") + 2
     held = parties.withColumn("exact", F.coalesce(exact, F.lit(0.0))).withColumn("sure", F.greatest(F.floor("exact").cast("long") - F.coalesce(near, F.lit(0)), F.lit(0).cast("long"))).withColumn("near", F.coalesce(near, F.lit(0).cast("long")))
     left = (F.col(seats) - F.sum("sure").over(every)).alias("left")
     tried = held.select("*", left).select("*", F.explode(F.sequence(F.col("sure"), F.floor("exact").cast("long") + F.col("near"))).alias("seat"))
@@ -99,8 +104,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 20, id_c
     parts = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     parts = quotas(parts.withColumn("words_d", F.col("words").cast("double")), "words_d", "source_quota", ["source"], ["shard"])
     in_shard = F.ceil(F.col("words") / BLOCK).cast("long")
+    parts = parts.withColumn("n_blocks", in_shard)
+    # No shard gives more than ``most`` rounds; seats beyond that go to the source's next shards with room.
+    bound, of_one = most * F.col("n_blocks"), Window.partitionBy("source")
+    zero = F.lit(0).cast("long")
+    room = F.greatest(bound - F.col("quota"), zero)
+    parts = parts.withColumn("over", F.sum(F.greatest(F.col("quota") - bound, zero)).over(of_one)).withColumn("room", room)
+    before = F.coalesce(F.sum("room").over(of_one.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), zero)
     parts = stored(
-        parts.withColumn("n_blocks", in_shard).withColumn("quota", F.least("quota", most * F.col("n_blocks")))
+        parts.withColumn("quota", F.least("quota", bound) + F.greatest(F.least("room", F.col("over") - before), zero))
         .select(F.col("source").alias("of_source"), F.col("shard").alias("of_shard"), "words", "n_blocks", "quota", F.when(F.col("n_blocks") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(seed)), "n_blocks")).otherwise(F.lit(0)).alias("from_block")),
         "shards",
     )
@@ -110,8 +122,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 20, id_c
     joined = joined.withColumn("rounds", F.when(F.col("n_blocks") > 0, F.expr("quota DIV n_blocks")).otherwise(F.lit(0).cast("long"))).withColumn("rest", F.col("quota") - F.col("rounds") * F.col("n_blocks"))
     end = F.col("at") + F.col("size")
     arc_from, arc_to = F.col("from_block") * BLOCK, (F.col("from_block") + F.col("rest")) * BLOCK
-    wrap_to = F.greatest(F.col("from_block") + F.col("rest") - F.col("n_blocks"), F.lit(0).cast("long")) * BLOCK
-    zero = F.lit(0).cast("long")
+    wrap_to = F.greatest(F.col("from_block") + F.col("rest") - F.col("n_blocks"), zero) * BLOCK
     first = F.least(F.greatest(arc_from - F.col("at"), zero), F.col("size"))
     joined = joined.withColumn("first", first).withColumn("cut", F.greatest(F.least(end, arc_to) - F.col("at") - F.col("first"), zero)).withColumn("wrapped", F.greatest(F.least(end, wrap_to) - F.col("at"), zero))
     nth = ["mark", F.row_number().over(Window.partitionBy("mark").orderBy("at")).alias("nth")] if marks else []
@@ -125,9 +136,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mix(docs, marks=True, **options).where("taken > 0").select(*[F.col(c).alias(f"mix_{c}") for c in ("mark", "nth", "rounds", "first", "cut", "wrapped")])
     names = {c: options[c] for c in ("id_col", "text_col", "source_col") if c in options}
+    text_col = options.get("text_col", "text")
     joined = numbered(docs, source_mark(**names)).join(plan, (F.col("row_mark") == F.col("mix_mark")) & (F.col("row_nth") == F.col("mix_nth")))
-    words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
-    size = F.regexp_count("text", F.lit(WORD))
+    text = F.col("row")[text_col]
+    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    size = F.regexp_count(text, F.lit(WORD))
     span = F.col("mix_cut") + F.col("mix_wrapped")
     # A part that is the whole text, in one piece or as both ends of the ring, is a copy.
     wholes = F.when(span >= size, F.array_repeat(F.lit(None).cast("string"), (F.col("mix_rounds") + 1).cast("int"))).otherwise(
@@ -137,8 +150,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             F.when(F.col("mix_wrapped") > 0, F.array(F.array_join(F.slice(words, F.lit(1), F.col("mix_wrapped").cast("int")), " "))).otherwise(F.array().cast("array<string>")),
         )
     )
-    rows = joined.select(*docs.columns, F.explode(wholes).alias("mix_part"))
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.coalesce("mix_part", "text")}
+    rows = joined.select("row", F.explode(wholes).alias("part"))
+    out = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.coalesce("part", F.col("row")[text_col])}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("mix_part").isNotNull(), F.char_length("mix_part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.col("part").isNotNull(), F.char_length("part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
     return rows.select(*[c.alias(k) for k, c in out.items()])

@@ -638,6 +638,61 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in seen[3]}
 
 
+#: Names that the stages use for columns of their own.
+CLASHES = ("row", "row_mark", "row_nth", "mark", "part", "mix_cut", "mix_mark", "taken_mark", "stays_mark", "first", "key", "kept", "cls", "of_source", "shards", "importance", "spot", "size", "n_chars")
+
+
+@pytest.fixture(scope="module")
+def hostile(spark):
+    """Nulls in any column, repeated rows and ids, a source without words, ties, and extra columns of clashing names."""
+    rows = [(None, None, None, None), (None, "", None, "w"), (1, None, "en", "w"), (1, " \n", "en", "w"), (2, "one", "en", None), (2, "one", "en", None), (2, "two words", None, "a")]
+    rows += [(9, " ".join(f"w{(k * j) % 97}" for j in range(120)), "en", "ab"[k % 2]) for k in range(1, 20)] + [(None, "x " * 70_000, "de", "b")] * 2
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(None).cast("long") for c in CLASHES})
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_every_stage_on_hostile_rows(spark, hostile, empty):
+    import corpus_pipeline as p
+
+    docs = hostile.limit(0) if empty else hostile
+    before = {(r.doc_id, r.text, r.source) for r in docs.collect()}
+    for name, stage in p.STAGES[:4]:
+        own = stage(spark, docs, DATA)
+        assert own.columns == docs.columns, name
+        got = [(r.doc_id, r.text, r.source) for r in own.collect()]
+        assert bool(got) != empty
+        if name != "mixing":
+            assert set(got) <= before
+        else:
+            assert {s for _, _, s in got} <= {"a", "b", None}
+        if name == "exact dedup":
+            texts = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, _ in got]
+            assert sorted(texts) == sorted({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, _ in before})
+    packed = p.STAGES[4][1](spark, docs, DATA).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_mixing_of_wordless_sources(spark):
+    schema = "doc_id long, text string, source string"
+    rows = [(1, "a b c d", "x"), (2, " ", "y"), (3, None, "y"), (4, None, None), (5, "e f", "z")]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, schema)).collect()}
+    assert {i: r.target for i, r in got.items() if i in (2, 3, 4)} == {2: 0.0, 3: 0.0, 4: 0.0} and sum(r.target for i, r in got.items() if i in (1, 5)) == pytest.approx(6)
+    assert all(got[i].taken == 0 for i in (2, 3, 4)) and all(r.taken <= 3 * r.size for r in got.values())
+    none = mixing.mix(spark.createDataFrame(rows[1:4], schema)).collect()
+    assert [(r.size, r.target, r.taken) for r in none] == [(0, 0.0, 0)] * 3
+    assert mixing.mixed_documents(spark.createDataFrame(rows[1:4], schema)).count() == 0
+
+
+def test_a_full_shards_seats_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 64)
+    rows = [(i, "w " * mixing.BLOCK, "a") for i in range(60)] + [(100 + i, "w " * 400, "b") for i in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    small = [r for r in got if r.doc_id < 100]
+    assert small[0].target == 3 * small[0].source_size  # the small source is at its bound
+    assert sum(r.taken for r in small) == small[0].target  # whole blocks: no seat is lost
+    assert all(r.taken <= 3 * r.size for r in got)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
