@@ -1,4 +1,8 @@
-"""A corpus from raw documents to packed sequences: each stage reads what its predecessor wrote."""
+"""A corpus from raw documents to packed sequences: each stage reads what its predecessor wrote.
+
+In every stage an empty table gives no rows, null ids, texts, languages and sources are values like others,
+repeated rows are rows of their own, and extra columns of any name are carried to the packing, which drops them.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal without their white space the longest, then of the smallest id (a null id last); null and empty texts are one group."""
     return exact.drop_copies(docs)
 
 
@@ -26,15 +31,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.components(docs, marks=True)
     first = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")).select(F.col("first.mark").alias("stays_mark"))
     stays = first.union(found.where("n_shingles = 0").select("mark").distinct())
-    rows = numbered(docs, mark()).where((F.col("row_nth") == 1) | ~F.coalesce("text", F.lit("")).rlike(WORD))
-    return rows.join(stays, rows["row_mark"] == stays["stays_mark"]).select(*[rows[c] for c in docs.columns])
+    rows = numbered(docs, mark()).where((F.col("row_nth") == 1) | ~F.coalesce(F.col("row")["text"], F.lit("")).rlike(WORD))
+    return rows.join(stays, rows["row_mark"] == stays["stays_mark"]).select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, those at an arc's ends in part; rows without words are in no mix."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document in a sequence of at most 1,024 ids; a row's copies are documents of their own."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
