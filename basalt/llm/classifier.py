@@ -2,17 +2,22 @@
 
 Two generative bag-of-n-gram models over ``2 ** BITS`` hashed byte 4-grams: one of the target (documents
 labelled good and not toxic), one of the raw corpus, every document of it. A document's importance is the
-log of their ratio, here per n-gram and scaled to a nominal length, so that long documents don't win by
-length alone. Gumbel noise, seeded by doc_id, turns the ``k`` largest keys into a sample without
-replacement in proportion to importance; ``k`` is the number of documents whose importance reaches the
-level that best parts the labelled sample.
+log of their ratio per n-gram, so that long documents don't win by length alone. Divided by a temperature it
+is the log weight of the draw: Gumbel noise, seeded by doc_id, is added and the ``k`` largest keys are taken,
+which is a sample without replacement in proportion to the weights.
+
+Under that draw a document of importance x is taken with the probability 1 - exp(-exp((x - level) / temperature)).
+The level best parts the labelled sample (a lost good document counts ``LOST`` times as much as another that
+passes), the temperature is the one under which the sample's labels are likeliest (a share of ``DOUBT`` of them
+is taken for wrong, and ``HOTTEST`` of the good sample's spread is the end); ``k`` is the sum of the
+probabilities over all documents. So the noise decides where good and other documents overlap, and little where the sample parts them.
 
 Only the labelled sample is bounded (``LABELLED`` rows of either kind, smallest hashes first); the raw
 model counts all documents, in 2 ** BITS numbers per task that are summed by bucket on the executors.
 
-A null text is empty: it has no n-grams, the importance 0 and so goes if the level is above 0. Null ids
-share one noise value; repeated rows get the same decision. Ties at the k-th key stay together.
-Labels with nulls count for neither kind; with no labelled document of both kinds everything is kept.
+A null or empty text has no n-grams and the importance 0. Null ids share one noise value; repeated rows get
+the same decision. Ties at the k-th key stay together. Labels with nulls count for neither kind; with no
+labelled document of either kind everything is kept. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ from .common import id_text, map_batches, mark, stored
 
 BITS = 18
 LABELLED = 20_000
-#: n-grams of the nominal document: the scale of importance against the noise.
-NOMINAL = 2000.0
+#: How much more a lost good document counts than another that passes; the share of labels taken for wrong;
+#: the highest temperature, in spreads (1st to 99th percentile) of the good sample's importance.
+LOST, DOUBT, HOTTEST = 4.0, 0.01, 0.1
 #: Units of a log ratio in sums.
 FIXED = 1 << 24
 
@@ -109,36 +115,59 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             for row, h, ends in grams(batch):
                 total = np.concatenate([[0], np.cumsum(model.value[h])])
                 starts = np.concatenate([[0], ends[:-1]])
-                out[row : row + len(ends)] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1) * (NOMINAL / FIXED)
-            yield {"doc_id": batch.column(0), "importance": np.round(out, 6)} | {c: batch.column(k) for k, c in enumerate(also, 2)}
+                out[row : row + len(ends)] = (total[ends] - total[starts]) / np.maximum(ends - starts, 1) / FIXED
+            yield {"doc_id": batch.column(0), "importance": np.round(out, 9)} | {c: batch.column(k) for k, c in enumerate(also, 2)}
 
     also = docs.columns[2:]
     return map_batches(docs, run, ", ".join(["doc_id long", "importance double", *[f"{c} string" for c in also]]))
 
 
-def level_of(good: np.ndarray, other: np.ndarray) -> float:
-    """The level with the fewest errors on the labelled sample, a lost good document counting fourfold."""
+def draw_of(good: np.ndarray, other: np.ndarray) -> tuple[float, float] | None:
+    """(temperature, level) that the labelled sample's importance gives; None without both kinds."""
     if not len(good) or not len(other):
-        return -np.inf
+        return None
+    spread = float(np.subtract(*np.percentile(good, [99, 1]))) or float(np.ptp(np.concatenate([good, other]))) or 1.0
     cuts = np.unique(np.concatenate([good, other]))
     lost = np.searchsorted(np.sort(good), cuts)
     passed = len(other) - np.searchsorted(np.sort(other), cuts)
-    at = int(np.argmin(4 * lost / len(good) + passed / len(other)))
-    return float(cuts[at] if at == 0 else (cuts[at - 1] + cuts[at]) / 2)
+    at = int(np.argmin(LOST * lost / len(good) + passed / len(other)))
+    level = float(cuts[at] if at == 0 else (cuts[at - 1] + cuts[at]) / 2)
+
+    def likely(t: float) -> float:
+        g, o = (DOUBT + (1 - 2 * DOUBT) * taken(x, t, level) for x in (good, other))
+        return LOST * float(np.log(g).mean()) + float(np.log(1 - o).mean())
+
+    return max((float(t) for t in spread * np.geomspace(HOTTEST / 100, HOTTEST, 40)), key=likely), level
+
+
+def taken(x: np.ndarray, temperature: float, level: float) -> np.ndarray:
+    """The probability of being drawn."""
+    return 1 - np.exp(-np.exp(np.clip((x - level) / temperature, -40, 4)))
+
+
+def draw(scored: DataFrame, temperature: float, level: float, seed: int) -> DataFrame:
+    """Adds ``key`` and ``kept``: the Gumbel top-k of importance / temperature, k being the expected number."""
+    weight = (F.col("importance") - F.lit(level)) / F.lit(temperature)
+    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    keyed = scored.withColumn("key", weight - F.log(-F.log(uniform)))
+    chance = 1 - F.exp(-F.exp(F.greatest(F.least(weight, F.lit(4.0)), F.lit(-40.0))))
+    k = keyed.agg(F.sum((chance * 10**6).cast("long"))).first()[0] or 0  # whole numbers: the order of rows doesn't matter
+    return keyed.withColumn("kept", F.col("key") >= kth_largest(keyed, "key", round(k / 10**6)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
     """doc_id, importance, key, kept, and the row's mark if wanted: a row for each row of ``docs``."""
     slim = id_text(docs, id_col, text_col)
     good, other = labelled(labels)
-    scored = score(slim.withColumn("mark", mark()) if marks else slim, fit(slim, good))
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    scored = stored(scored.withColumn("key", F.col("importance") - F.log(-F.log(uniform))), "importance")
+    scored = stored(score(slim.withColumn("mark", mark()) if marks else slim, fit(slim, good)), "importance")
     both = np.concatenate([good, other])  # at most 2 * LABELLED
-    sample = scored.join(F.broadcast(docs.sparkSession.createDataFrame([(int(i), j < len(good)) for j, i in enumerate(both)], "doc_id long, good boolean")), "doc_id").select("importance", "good").collect()
-    level = level_of(np.array([r.importance for r in sample if r.good]), np.array([r.importance for r in sample if not r.good]))
-    k = scored.where(F.col("importance") >= level).count()
-    return scored.withColumn("kept", F.col("key") >= kth_largest(scored, "key", k))
+    kinds = docs.sparkSession.createDataFrame([(int(i), j < len(good)) for j, i in enumerate(both)], "doc_id long, good boolean")
+    # One value for an id: rows that repeat it don't make the sample larger.
+    sample = scored.join(F.broadcast(kinds), "doc_id").groupBy("doc_id", "good").agg(F.min("importance").alias("importance")).collect()
+    fitted = draw_of(np.array([r.importance for r in sample if r.good]), np.array([r.importance for r in sample if not r.good]))
+    if fitted is None:
+        return scored.withColumn("key", F.col("importance")).withColumn("kept", F.lit(True))
+    return draw(scored, *fitted, seed)
 
 
 def kth_largest(df: DataFrame, col: str, k: int) -> float:

@@ -386,7 +386,31 @@ def test_importance_is_the_ratio_of_the_models(spark):
     assert np.allclose(ratio, want)
     for r in classifier.score(docs, ratio).collect():
         b = buckets(texts[r.doc_id])
-        assert abs(r.importance - (np.mean(want[b]) * classifier.NOMINAL if b else 0)) < 1e-3
+        assert abs(r.importance - (np.mean(want[b]) if b else 0)) < 1e-6
+
+
+def test_the_draw_follows_the_weights(spark):
+    scored = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 6 - 3).cast("double").alias("importance")).cache()
+    shares, kept = Counter(), []
+    for seed in range(6):
+        rows = classifier.draw(scored, 0.8, 0.5, seed).where("kept").collect()
+        kept.append(frozenset(r.doc_id for r in rows))
+        shares.update(r.importance for r in rows)
+    assert len(set(kept)) == 6  # the noise decides
+    for x in range(-3, 3):
+        assert shares[x] / 6000 == pytest.approx(classifier.taken(np.array(float(x)), 0.8, 0.5), abs=0.03)
+
+
+def test_the_draw_fits_the_labels():
+    r = np.random.default_rng(1)
+    x = r.normal(size=8000)
+    good = r.random(8000) < classifier.taken(x, 0.3, 0.2)
+    t, level = classifier.draw_of(x[good], x[~good])
+    assert 0 < t <= classifier.HOTTEST * np.ptp(x[good]) and -1 < level < 0.5
+    apart = classifier.draw_of(np.array([1.0, 1.1, 1.2]), np.array([-3.0, -2.0]))
+    assert (classifier.taken(np.array([1.0, 1.2]), *apart) > 0.9).all() and (classifier.taken(np.array([-2.0, -3.0]), *apart) < 0.01).all()
+    assert classifier.draw_of(np.ones(3), np.ones(2))[1] == 1.0
+    assert classifier.draw_of(np.ones(2), np.empty(0)) is None
 
 
 def test_kth_largest(spark):
