@@ -179,6 +179,8 @@ def brought(value: Column, have: T.DataType, f: Field) -> Column:
         if not isinstance(have, T.StructType):
             raise Precondition(f"{f.name}: a record is needed")
         own = {h.name.lower(): h for h in have.fields}
+        if len(have.fields) == len(f.fields) and not own.keys() & {x.name.lower() for x in f.fields}:
+            own = {x.name.lower(): h for x, h in zip(f.fields, have.fields, strict=True)}  # an unnamed record: by position
         parts = []
         for inner in f.fields:
             h = own.get(inner.name.lower())
