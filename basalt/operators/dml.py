@@ -1,7 +1,7 @@
-"""INSERT, UPDATE, DELETE and MERGE as DataFrame rewrites of a table into its next rows.
+"""UPDATE, DELETE and MERGE as DataFrame rewrites of (a part of) a table into its next rows.
 
-Every function returns (rows of the next version, or None for "append these", and a Column-free count of
-changed rows as a DataFrame action to run once). Nothing here writes.
+Every function returns the rows that stay, with ``CHANGE``: 0 as it was, 1 updated, 2 inserted. The writer
+stores it beside the rows and counts it there, so a statement is evaluated once. Nothing here writes.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..errors import Invalid
 
 
+CHANGE = "__change"
+
+
 @dataclass(frozen=True)
 class Clause:
     """One WHEN of a MERGE: kind is matched, absent (in the target) or orphan (not in the source)."""
@@ -24,14 +27,16 @@ class Clause:
     values: tuple[tuple[str, str], ...] = ()  # column, expression
 
 
-def delete(target: DataFrame, condition: str) -> tuple[DataFrame, DataFrame]:
+def delete(target: DataFrame, condition: str) -> DataFrame:
     """Rows for which the condition isn't TRUE stay."""
-    gone = F.coalesce(F.expr(condition), F.lit(False))
-    return target.where(~gone), target.where(gone)
+    return target.where(~F.coalesce(F.expr(condition), F.lit(False))).withColumn(CHANGE, F.lit(0))
 
 
-def update(target: DataFrame, alias: str, assignments: list[tuple[str, str]], condition: str, source: DataFrame | None = None, source_alias: str = "") -> tuple[DataFrame, DataFrame]:
-    """SET expressions may name the target's and the source's columns; several source rows for one row are an error."""
+def update(target: DataFrame, alias: str, assignments: list[tuple[str, str]], condition: str, source: DataFrame | None = None, source_alias: str = "", single: bool = False) -> DataFrame:
+    """SET expressions may name the target's and the source's columns; several source rows for one row are an error.
+
+    ``single`` says that no row has several: the join's rows then need no window.
+    """
     names = target.columns
     unknown = [c for c, _ in assignments if c.lower() not in {n.lower() for n in names}]
     if unknown or len({c.lower() for c, _ in assignments}) != len(assignments):
@@ -40,22 +45,26 @@ def update(target: DataFrame, alias: str, assignments: list[tuple[str, str]], co
     if source is None:
         hit = F.coalesce(F.expr(condition), F.lit(False))
         marked = target.alias(alias).withColumn("__hit", hit)
-        rows = marked.select(*[(F.when(F.col("__hit"), F.expr(to[n.lower()])).otherwise(F.col(f"{alias}.{n}")) if n.lower() in to else F.col(f"{alias}.{n}")).alias(n) for n in names])
-        return rows, target.alias(alias).where(hit)
-    left = target.withColumn("__row", F.monotonically_increasing_id()).alias(alias)
-    joined = left.join(source.withColumn("__hit", F.lit(True)).alias(source_alias), F.expr(condition), "left")
-    joined = joined.withColumn("__n", F.count("__hit").over(Window.partitionBy("__row")))
-    hit = F.when(F.col("__n") > 1, F.raise_error(F.lit("UPDATE: several source rows match one target row")).cast("boolean")).otherwise(F.col("__hit").isNotNull())
-    rows = joined.withColumn("__set", hit).select("__set", *[(F.when(F.col("__set"), F.expr(to[n.lower()])).otherwise(F.col(f"{alias}.{n}")) if n.lower() in to else F.col(f"{alias}.{n}")).alias(n) for n in names])
-    return rows.drop("__set"), rows.where("__set")
-
-
-def merge(target: DataFrame, source: DataFrame, alias: str, source_alias: str, on: str, clauses: list[Clause]) -> tuple[DataFrame, DataFrame]:
+    else:
+        left = target.withColumn("__row", F.monotonically_increasing_id()).alias(alias)
+        marked = left.join(source.withColumn("__hit", F.lit(True)).alias(source_alias), F.expr(condition), "left")
+        if not single:
+            marked = marked.withColumn("__n", F.count("__hit").over(Window.partitionBy("__row")))
+            several = F.raise_error(F.lit("UPDATE: several source rows match one target row")).cast("boolean")
+            marked = marked.withColumn("__hit", F.when(F.col("__n") > 1, several).otherwise(F.col("__hit")))
+        marked = marked.withColumn("__set", F.col("__hit").isNotNull())
+    hit = F.col("__hit") if source is None else F.col("__set")
+    return marked.select(*[(F.when(hit, F.expr(to[n.lower()])).otherwise(F.col(f"{alias}.{n}")) if n.lower() in to else F.col(f"{alias}.{n}")).alias(n) for n in names], hit.cast("int").alias(CHANGE))
+
+
+def merge(target: DataFrame, source: DataFrame, alias: str, source_alias: str, on: str, clauses: list[Clause], single: bool = False) -> DataFrame:
     """A full outer join with match flags; each row takes the first clause of its kind whose condition holds.
 
-    A target row that two source rows would change is an error. A constant FALSE condition isn't joined at all.
+    A target row that two source rows would change is an error; ``single`` says that none has two, and the join's
+    rows then need no window. A constant FALSE condition isn't joined at all.
     """
     names = target.columns
+    single = single or on.strip().upper() == "FALSE"
     if on.strip().upper() == "FALSE":
         both = _never(target, source, alias, source_alias)
     else:
@@ -72,7 +81,7 @@ def merge(target: DataFrame, source: DataFrame, alias: str, source_alias: str, o
     # Rows by target row; source rows without one each by themselves, so that they aren't one group.
     row = Window.partitionBy(F.coalesce(f"{alias}.__row", -1 - F.col(f"{source_alias}.__source_row")))
     changed = F.sum(F.when((F.col("__chosen") >= 0) & kinds["matched"], 1).otherwise(0)).over(row)
-    if any(c.kind == "matched" for c in clauses) and on.strip().upper() != "FALSE":
+    if any(c.kind == "matched" for c in clauses) and not single:
         marked = marked.withColumn("__times", changed).withColumn("__chosen", F.when(kinds["matched"] & (F.col("__times") > 1), F.raise_error(F.lit("MERGE: several source rows match one target row")).cast("int")).otherwise(F.col("__chosen")))
     columns = []
     for n in names:
@@ -88,12 +97,11 @@ def merge(target: DataFrame, source: DataFrame, alias: str, source_alias: str, o
     inserts = [i for i, c in enumerate(clauses) if c.action == "insert"]
     stays = (in_target & ~F.col("__chosen").isin(*deletes) if deletes else in_target) | (F.col("__chosen").isin(*inserts) if inserts else F.lit(False))
     # A target row that several source rows match without a change stands once.
-    once = marked
-    if on.strip().upper() != "FALSE":
-        nth = F.row_number().over(row.orderBy(F.col("__chosen").desc()))
-        once = marked.withColumn("__nth", nth).where("__nth = 1")
-    rows = once.withColumn("__stays", stays).where("__stays").select(*columns)
-    return rows, once.where("__chosen >= 0")
+    once = marked if single else marked.withColumn("__nth", F.row_number().over(row.orderBy(F.col("__chosen").desc()))).where("__nth = 1")
+    change = F.when(F.col("__chosen").isin(*inserts), 2).otherwise(F.lit(0)) if inserts else F.lit(0)
+    updates = [i for i, c in enumerate(clauses) if c.action == "update"]
+    change = F.when(F.col("__chosen").isin(*updates), 1).otherwise(change) if updates else change
+    return once.withColumn("__stays", stays).where("__stays").select(*columns, change.alias(CHANGE))
 
 
 def _never(target: DataFrame, source: DataFrame, alias: str, source_alias: str) -> DataFrame:

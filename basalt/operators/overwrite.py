@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Invalid, Unsupported
+from .dml import CHANGE
 
 PARTS = ("HOUR", "DAY", "MONTH", "YEAR")
 
@@ -21,13 +22,22 @@ def partition_of(column: Column, kind: str, part: str) -> Column:
     return F.date_trunc(part, column)
 
 
-def dynamic(target: DataFrame, source: DataFrame, field: str, kind: str, part: str) -> tuple[DataFrame, DataFrame]:
-    """(target rows of untouched partitions and all source rows, the target rows that go).
+def touched(source: DataFrame, field: str, kind: str, part: str) -> DataFrame:
+    """``__p``: the partitions that the source has rows of, each once."""
+    return source.select(partition_of(F.col(field), kind, part).alias("__p")).where(F.col("__p").isNotNull()).distinct()
+
+
+def hit(target: DataFrame, source: DataFrame, field: str, kind: str, part: str) -> DataFrame:
+    """The target's rows that a partition overwrite deletes."""
+    return target.withColumn("__p", partition_of(F.col(field), kind, part)).join(touched(source, field, kind, part), "__p", "left_semi").drop("__p")
+
+
+def dynamic(target: DataFrame, source: DataFrame, field: str, kind: str, part: str) -> DataFrame:
+    """The target's rows of untouched partitions and all source rows, the latter marked as inserted.
 
     Rows without a partition never match: the target's stay, the source's are added. The touched partitions
     are an anti-join, so Spark broadcasts them when they are few and shuffles when they aren't.
     """
-    touched = source.select(partition_of(F.col(field), kind, part).alias("__p")).where(F.col("__p").isNotNull()).distinct()
     keyed = target.withColumn("__p", partition_of(F.col(field), kind, part))
-    stays = keyed.join(touched, "__p", "left_anti").select(*target.columns)
-    return stays.unionByName(source.select(*target.columns)), keyed.join(touched, "__p", "left_semi").select(*target.columns)
+    stays = keyed.join(touched(source, field, kind, part), "__p", "left_anti").select(*target.columns, F.lit(0).alias(CHANGE))
+    return stays.unionByName(source.select(*target.columns, F.lit(2).alias(CHANGE)))

@@ -36,11 +36,12 @@ def plain(text: str) -> str:
 
 
 def sql(name: str, spark_text: str, oracle: str | None = None) -> None:
-    """A query in SQL; the same text for both engines unless ``oracle`` differs."""
+    """A query in the engine's language; the same text for both engines unless ``oracle`` differs."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        named = {t: read(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", spark_text))}
-        return spark.sql(spark_text, **named)
+        from ..engine import over
+
+        return over(spark, plain(spark_text), {t: read(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", spark_text))})
 
     QUERIES[name] = Query(run, plain(oracle or spark_text))
 
@@ -82,19 +83,18 @@ def engine(name: str, oracle: str | None, tables: dict[str, list[str]] | None =
 # --- scans, projections, filters -------------------------------------------------------------------
 
 sql("scan_table", "SELECT * FROM {nation}")
-frame("select_star", "SELECT r_regionkey, r_name FROM {region}")(lambda t: t("region").select("*"))
-frame("project_alias", "SELECT o_orderkey AS k, o_totalprice * 2 AS twice FROM {orders}")(lambda t: t("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") * 2).alias("twice")))
-frame("project_except", "SELECT * EXCLUDE (l_tax, l_discount) FROM {lineitem}")(lambda t: t("lineitem").drop("l_tax", "l_discount"))
-frame("project_replace", "SELECT * REPLACE (upper(c_name) AS c_name) FROM {customer}")(lambda t: t("customer").withColumn("c_name", F.upper("c_name")))
-frame("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")(lambda t: t("lineitem").select("l_returnflag", "l_linestatus").distinct())
-frame("filter_compare", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_quantity >= 30 AND l_discount <> 0.05 AND l_shipdate < TIMESTAMP '1996-01-01'")(
-    lambda t: t("lineitem").where((F.col("l_quantity") >= 30) & (F.col("l_discount") != 0.05) & (F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz"))).select("l_orderkey", "l_linenumber"))
+sql("select_star", "SELECT * FROM {region}", "SELECT * FROM {region}")
+sql("project_alias", "SELECT o_orderkey AS k, o_totalprice * 2 AS twice FROM {orders}")
+sql("project_except", "SELECT * EXCEPT (l_tax, l_discount) FROM {lineitem}", "SELECT * EXCLUDE (l_tax, l_discount) FROM {lineitem}")
+sql("project_replace", "SELECT * REPLACE (UPPER(c_name) AS c_name) FROM {customer}", "SELECT * REPLACE (upper(c_name) AS c_name) FROM {customer}")
+sql("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")
+sql("filter_compare", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_quantity >= 30 AND l_discount <> 0.05 AND l_shipdate < DATETIME '1996-01-01'", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_quantity >= 30 AND l_discount <> 0.05 AND l_shipdate < TIMESTAMP '1996-01-01'")
 sql("filter_bool_chain", "SELECT o_orderkey FROM {orders} WHERE (o_orderstatus = 'F' OR o_orderstatus = 'O') AND NOT (o_totalprice < 1000 OR o_totalprice > 300000)")
 sql("filter_like", "SELECT p_partkey, p_name FROM {part} WHERE p_type LIKE '%A%' AND p_name LIKE '_a%'")
 sql("filter_not_like", "SELECT p_partkey FROM {part} WHERE p_type NOT LIKE '%A%'")
 sql("filter_is_null", "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') IS NULL AS a, (o_totalprice > 100000) IS TRUE AS b, NULLIF(o_orderstatus, 'F') IS NOT NULL AS c FROM {orders}")
 sql("filter_distinct_from", "SELECT o_orderkey FROM {orders} WHERE NULLIF(o_orderstatus, 'F') IS DISTINCT FROM 'O' AND o_orderpriority IS NOT DISTINCT FROM o_orderpriority")
-frame("filter_in_list", "SELECT c_custkey FROM {customer} WHERE c_nationkey IN (1, 3, 5, 7)")(lambda t: t("customer").where(F.col("c_nationkey").isin(1, 3, 5, 7)).select("c_custkey"))
+sql("filter_in_list", "SELECT c_custkey FROM {customer} WHERE c_nationkey IN UNNEST([1, 3, 5, 7])", "SELECT c_custkey FROM {customer} WHERE c_nationkey IN (1, 3, 5, 7)")
 sql("filter_not_in_list", "SELECT c_custkey FROM {customer} WHERE NULLIF(c_nationkey, 2) NOT IN (1, 3, 5, 7)")
 sql("filter_in_subquery", "SELECT s_suppkey FROM {supplier} WHERE s_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)")
 sql("filter_not_in_subquery", "SELECT s_suppkey FROM {supplier} WHERE s_nationkey NOT IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = 1)")
@@ -144,7 +144,7 @@ sql("fn_regex", "SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS h
 sql("fn_hash", "SELECT doc_id, md5(text) AS m, sha2(text, 256) AS s FROM {documents}", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM {documents}")
 sql("fn_json", "SELECT event_id, get_json_object(props, '$.k') AS k, props IS NOT NULL AS has FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AS has FROM {events}")
 sql("fn_date_math", "SELECT o_orderkey, CAST(o_orderdate + INTERVAL '3' DAY AS TIMESTAMP_NTZ) AS a, CAST(datediff(DAY, TIMESTAMP_NTZ '1992-01-01 00:00:00', o_orderdate) AS BIGINT) AS b, last_day(o_orderdate) AS c FROM {orders}", "SELECT o_orderkey, o_orderdate + INTERVAL 3 DAY AS a, CAST(date_diff('day', TIMESTAMP '1992-01-01 00:00:00', o_orderdate) AS BIGINT) AS b, last_day(o_orderdate) AS c FROM {orders}")
-sql("fn_array", "SELECT vec_id, ROUND(CAST(aggregate(embedding, 0D, (a, x) -> a + x * x) AS DOUBLE), 3) AS sq, CAST(size(filter(embedding, x -> x > 0)) AS BIGINT) AS pos FROM {embeddings}", "SELECT vec_id, ROUND(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 3) AS sq, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS pos FROM {embeddings}")
+sql("fn_array", "SELECT vec_id, ROUND(CAST(aggregate(embedding, CAST(0 AS FLOAT64), (a, x) -> a + x * x) AS FLOAT64), 3) AS sq, ARRAY_LENGTH(filter(embedding, x -> x > 0)) AS pos FROM {embeddings}", "SELECT vec_id, ROUND(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 3) AS sq, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS pos FROM {embeddings}")
 
 # --- aggregates ------------------------------------------------------------------------------------
 
@@ -159,12 +159,9 @@ frame("agg_group_by", """SELECT l_returnflag, l_linestatus, COUNT(*) AS count_or
         F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.round(F.avg("l_discount"), 6).alias("avg_disc")).orderBy("l_returnflag", "l_linestatus"))
 sql("agg_having", "SELECT o_custkey, COUNT(*) AS n FROM {orders} GROUP BY o_custkey HAVING COUNT(*) >= 15")
 sql("agg_group_by_all", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM {orders} GROUP BY ALL")
-frame("agg_array_agg_ignore_nulls", "SELECT n_regionkey, list_sort(list(NULLIF(n_name, 'NATION_1')) FILTER (WHERE NULLIF(n_name, 'NATION_1') IS NOT NULL)) AS names FROM {nation} GROUP BY n_regionkey")(
-    lambda t: t("nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.nullif("n_name", F.lit("NATION_1")))).alias("names")))
-frame("agg_array_agg_respect_nulls", "SELECT n_regionkey, CAST(len(list(NULLIF(n_nationkey, 3))) AS BIGINT) AS n, CAST(list_count(list(NULLIF(n_nationkey, 3))) AS BIGINT) AS there FROM {nation} GROUP BY n_regionkey")(
-    lambda t: _respecting(t("nation")))
-frame("agg_array_agg_distinct", "SELECT l_linestatus, list_sort(list(DISTINCT l_returnflag)) AS flags FROM {lineitem} GROUP BY l_linestatus")(
-    lambda t: t("lineitem").groupBy("l_linestatus").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags")))
+sql("agg_array_agg_ignore_nulls", "SELECT n_regionkey, ARRAY_AGG(NULLIF(n_name, 'NATION_1') IGNORE NULLS ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, list_sort(list(NULLIF(n_name, 'NATION_1')) FILTER (WHERE NULLIF(n_name, 'NATION_1') IS NOT NULL)) AS names FROM {nation} GROUP BY n_regionkey")
+sql("agg_array_agg_respect_nulls", "SELECT n_regionkey, ARRAY_LENGTH(ARRAY_AGG(NULLIF(n_nationkey, 3) RESPECT NULLS)) AS n, ARRAY_LENGTH(ARRAY_AGG(NULLIF(n_nationkey, 3) IGNORE NULLS)) AS there FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, CAST(len(list(NULLIF(n_nationkey, 3))) AS BIGINT) AS n, CAST(list_count(list(NULLIF(n_nationkey, 3))) AS BIGINT) AS there FROM {nation} GROUP BY n_regionkey")
+sql("agg_array_agg_distinct", "SELECT l_linestatus, SORT_ARRAY(ARRAY_AGG(DISTINCT l_returnflag)) AS flags FROM {lineitem} GROUP BY l_linestatus", "SELECT l_linestatus, list_sort(list(DISTINCT l_returnflag)) AS flags FROM {lineitem} GROUP BY l_linestatus")
 sql("agg_filter", "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f, ROUND(SUM(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS o FROM {orders} GROUP BY o_orderpriority")
 sql("agg_rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -184,18 +181,18 @@ def _respecting(nation: DataFrame) -> DataFrame:
 
 # --- joins -----------------------------------------------------------------------------------------
 
-frame("join_inner", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey")(lambda t: t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name"))
-frame("join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_totalprice > 250000")(lambda t: t("customer").join(t("orders"), (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > 250000), "left").select("c_custkey", "o_orderkey"))
-frame("join_right", "SELECT c_custkey, n_name FROM {customer} RIGHT JOIN {nation} ON c_nationkey = n_nationkey")(lambda t: t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right").select("c_custkey", "n_name"))
-frame("join_full", "SELECT s_suppkey, c_custkey FROM {supplier} FULL JOIN {customer} ON s_suppkey = c_custkey AND s_nationkey = c_nationkey")(lambda t: t("supplier").join(t("customer"), (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey")), "full").select("s_suppkey", "c_custkey"))
-frame("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")(lambda t: t("region").crossJoin(t("nation")).select("r_name", "n_name"))
+sql("join_inner", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey")
+sql("join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_totalprice > 250000")
+sql("join_right", "SELECT c_custkey, n_name FROM {customer} RIGHT JOIN {nation} ON c_nationkey = n_nationkey")
+sql("join_full", "SELECT s_suppkey, c_custkey FROM {supplier} FULL JOIN {customer} ON s_suppkey = c_custkey AND s_nationkey = c_nationkey")
+sql("join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 sql("join_comma", "SELECT n_name, r_name FROM {nation}, {region} WHERE n_regionkey = r_regionkey")
 sql("join_using", "SELECT doc_id, lang, quality FROM {documents} JOIN {labels} USING (doc_id)")
 sql("join_natural", "SELECT doc_id, source, toxic FROM {documents} NATURAL JOIN {labels}")
 sql("join_theta_range", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey >= b.n_regionkey")
-frame("join_semi", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders})")(lambda t: t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"))
-frame("join_anti", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})")(lambda t: t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"))
-sql("join_unnest_lateral", "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM {embeddings}, LATERAL explode(embedding) AS u(x)", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM {embeddings}")
+sql("join_semi", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders})")
+sql("join_anti", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})")
+sql("join_unnest_lateral", "SELECT vec_id, CAST(x AS FLOAT64) AS x FROM {embeddings}, UNNEST(embedding) AS x", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM {embeddings}")
 sql("join_star_5way", "SELECT r_name, COUNT(*) AS n, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name")
 _ASOF = "SELECT e.event_id, p.value AS last_value FROM {events} e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM {events} WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts"
 
@@ -209,18 +206,10 @@ def _asof(t):
     return asof(events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "at", ["last_value"]).select("event_id", "last_value")
 
 
-@frame("join_range", "SELECT o_orderkey, lo FROM {orders} JOIN (SELECT CAST(p_partkey * 1000 AS DOUBLE) AS lo, CAST(p_partkey * 1000 + 500 AS DOUBLE) AS hi FROM {part} WHERE p_partkey <= 100) b ON o_totalprice >= lo AND o_totalprice < hi")
+@frame("join_range", "SELECT o_orderkey, lo FROM {orders} JOIN (SELECT CAST(p_partkey * 1000 AS DOUBLE) AS lo, CAST(p_partkey * 1000 + 500 AS DOUBLE) AS hi FROM {part}) b ON o_totalprice >= lo AND o_totalprice < hi")
 def _range(t):
     from ..operators.joins import in_range
 
-    bands = t("part").where("p_partkey <= 100").select((F.col("p_partkey") * 1000.0).alias("lo"), (F.col("p_partkey") * 1000.0 + 500.0).alias("hi"))
-    return in_range(t("orders").select("o_orderkey", "o_totalprice"), bands, F.col("o_totalprice"), F.col("lo"), F.col("hi"), 500.0).select("o_orderkey", "lo")
-
-
-@frame("join_range_all", "SELECT o_orderkey, lo FROM {orders} JOIN (SELECT CAST(p_partkey * 1000 AS DOUBLE) AS lo, CAST(p_partkey * 1000 + 500 AS DOUBLE) AS hi FROM {part}) b ON o_totalprice >= lo AND o_totalprice < hi")
-def _range_all(t):
-    from ..operators.joins import in_range
-
     bands = t("part").select((F.col("p_partkey") * 1000.0).alias("lo"), (F.col("p_partkey") * 1000.0 + 500.0).alias("hi"))
     return in_range(t("orders").select("o_orderkey", "o_totalprice"), bands, F.col("o_totalprice"), F.col("lo"), F.col("hi"), 500.0).select("o_orderkey", "lo")
 
@@ -247,20 +236,35 @@ def _topn(t):
 
 # --- sorting, sets, CTEs ---------------------------------------------------------------------------
 
-frame("order_nulls", "SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM {customer} ORDER BY seg ASC NULLS LAST, c_custkey DESC NULLS FIRST")(lambda t: t("customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg")).orderBy(F.col("seg").asc_nulls_last(), F.col("c_custkey").desc_nulls_first()))
-frame("limit_offset", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 25 OFFSET 10")(lambda t: t("orders").select("o_orderkey").orderBy("o_orderkey").offset(10).limit(25))
-frame("topk", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")(lambda t: t("orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(10))
+sql("order_nulls", "SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM {customer} ORDER BY seg ASC NULLS LAST, c_custkey DESC NULLS FIRST")
+sql("limit_offset", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 25 OFFSET 10")
+sql("topk", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 sql("union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}")
-sql("union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
+sql("union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION DISTINCT SELECT s_nationkey FROM {supplier}", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 frame("union_by_name", "SELECT n_name AS name, n_nationkey AS k FROM {nation} UNION ALL BY NAME SELECT r_regionkey AS k, r_name AS name FROM {region}")(lambda t: t("nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k")).unionByName(t("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))))
-sql("intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
+sql("intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT DISTINCT SELECT s_nationkey FROM {supplier}", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
 sql("intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
-sql("except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey FROM {supplier} WHERE s_suppkey < 10")
+sql("except", "SELECT c_custkey AS k FROM {customer} EXCEPT DISTINCT SELECT o_custkey FROM {orders}", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
 sql("except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
 sql("cte", "WITH a AS (SELECT o_custkey AS k, COUNT(*) AS n FROM {orders} GROUP BY o_custkey), b AS (SELECT k, n FROM a WHERE n > 10) SELECT b.k, b.n, c.c_name FROM b JOIN {customer} c ON c.c_custkey = b.k")
 sql("cte_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n, n * n AS sq FROM t")
 sql("pipe_syntax", "FROM {orders} |> WHERE o_totalprice > 100000 |> AGGREGATE COUNT(*) AS n GROUP BY o_orderstatus", "SELECT o_orderstatus, COUNT(*) AS n FROM {orders} WHERE o_totalprice > 100000 GROUP BY o_orderstatus")
 
+# --- the language where it differs from Spark's ------------------------------------------------------
+
+sql("lit_strings_like_operators", "SELECT r_name, 'a UNION DISTINCT b' AS v, \"it's EXCEPT DISTINCT\" AS w FROM {region} UNION DISTINCT SELECT r_name, 'x INTERSECT DISTINCT y', r'\\d' FROM {region}", "SELECT r_name, 'a UNION DISTINCT b' AS v, 'it''s EXCEPT DISTINCT' AS w FROM {region} UNION SELECT r_name, 'x INTERSECT DISTINCT y', '\\d' FROM {region}")
+sql("lit_typed_array_struct", "SELECT n_nationkey, ARRAY<INT64>[n_regionkey, 7] AS a, ARRAY_LENGTH(ARRAY<STRING>[]) AS none, STRUCT<x INT64, y STRING>(n_nationkey, n_name).y AS y FROM {nation}", "SELECT n_nationkey, [CAST(n_regionkey AS BIGINT), 7] AS a, CAST(0 AS BIGINT) AS none, n_name AS y FROM {nation}")
+sql("unnest_left", "SELECT o.o_orderkey, part FROM (SELECT o_orderkey, IF(o_orderstatus = 'F', ARRAY<STRING>[], SPLIT(o_orderpriority, '-')) AS parts FROM {orders}) AS o LEFT JOIN UNNEST(o.parts) AS part", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE part END AS part FROM (SELECT o_orderkey, o_orderstatus, unnest(CASE WHEN o_orderstatus = 'F' THEN ['x'] ELSE string_split(o_orderpriority, '-') END) AS part FROM {orders})")
+sql("unnest_with_offset", "SELECT vec_id, place, CAST(x AS FLOAT64) AS x FROM {embeddings}, UNNEST(embedding) AS x WITH OFFSET AS place", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM {embeddings}")
+sql("array_subscripts", "SELECT vec_id, CAST(embedding[OFFSET(0)] AS FLOAT64) AS a, CAST(embedding[ORDINAL(2)] AS FLOAT64) AS b, embedding[SAFE_OFFSET(100000)] IS NULL AS c FROM {embeddings}", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, TRUE AS c FROM {embeddings}")
+sql("array_subquery", "SELECT vec_id, ARRAY_LENGTH(ARRAY(SELECT x FROM UNNEST(embedding) AS x WHERE x > 0)) AS n FROM {embeddings}", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS n FROM {embeddings}")
+sql("to_json_nulls", "SELECT o_orderkey, TO_JSON(STRUCT(o_orderkey AS k, NULLIF(o_orderstatus, 'O') AS s)) AS j, TO_JSON(o_custkey) AS c, TO_JSON(o_orderstatus) AS t FROM {orders}", "SELECT o_orderkey, '{\"k\":' || o_orderkey || ',\"s\":' || CASE WHEN o_orderstatus = 'O' THEN 'null' ELSE '\"' || o_orderstatus || '\"' END || '}' AS j, CAST(o_custkey AS VARCHAR) AS c, '\"' || o_orderstatus || '\"' AS t FROM {orders}")
+sql("agg_countif_logical", "SELECT o_custkey, COUNTIF(o_totalprice > 150000) AS n, LOGICAL_OR(o_orderstatus = 'P') AS some, LOGICAL_AND(o_totalprice > 20000) AS every FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, count(*) FILTER (WHERE o_totalprice > 150000) AS n, bool_or(o_orderstatus = 'P') AS some, bool_and(o_totalprice > 20000) AS every FROM {orders} GROUP BY o_custkey")
+sql("agg_array_agg_order_limit", "SELECT o_custkey, ARRAY_AGG(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 3) AS best FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, list_slice(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC), 1, 3) AS best FROM {orders} GROUP BY o_custkey")
+sql("fn_regexp_contains", "SELECT doc_id, REGEXP_CONTAINS(text, r'[0-9][0-9][0-9]') AS digits, STARTS_WITH(source, 's') AS s, STRPOS(text, 'the') AS at FROM {documents}", "SELECT doc_id, regexp_matches(text, '[0-9][0-9][0-9]') AS digits, starts_with(source, 's') AS s, CAST(strpos(text, 'the') AS BIGINT) AS at FROM {documents}")
+sql("fn_date_arithmetic", "SELECT o_orderkey, DATE_ADD(DATE(o_orderdate), INTERVAL 1 MONTH) AS a, DATE_SUB(DATE(o_orderdate), INTERVAL 10 DAY) AS b, DATE_DIFF(DATE '1999-01-01', DATE(o_orderdate), DAY) AS d, DATE_DIFF(DATE '1999-01-01', DATE(o_orderdate), MONTH) AS m, EXTRACT(YEAR FROM o_orderdate) AS y FROM {orders}", "SELECT o_orderkey, CAST(o_orderdate::DATE + INTERVAL 1 MONTH AS DATE) AS a, CAST(o_orderdate::DATE - INTERVAL 10 DAY AS DATE) AS b, date_diff('day', o_orderdate::DATE, DATE '1999-01-01') AS d, date_diff('month', o_orderdate::DATE, DATE '1999-01-01') AS m, EXTRACT(YEAR FROM o_orderdate) AS y FROM {orders}")
+sql("select_as_struct", "SELECT TO_JSON(ARRAY(SELECT AS STRUCT n_nationkey AS k, n_name AS n FROM {nation} ORDER BY n_nationkey)) AS j", "SELECT '[' || string_agg('{\"k\":' || n_nationkey || ',\"n\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']' AS j FROM {nation}")
+
 # --- the engine: statements on versioned tables ----------------------------------------------------
 
 _ORDERS = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]}

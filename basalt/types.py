@@ -198,21 +198,25 @@ def brought(value: Column, have: T.DataType, f: Field) -> Column:
     return out
 
 
-def conform(df: DataFrame, fields: tuple[Field, ...], by_name: bool = True) -> DataFrame:
-    """``df`` as rows of the schema: by name without regard to case (missing columns are null), or by position."""
-    have = df.schema.fields
+def conform(df: DataFrame, fields: tuple[Field, ...], by_name: bool = True, beside: str | None = None) -> DataFrame:
+    """``df`` as rows of the schema: by name without regard to case (missing columns are null), or by position.
+
+    A column ``beside`` stays as it is, after them.
+    """
+    have = [h for h in df.schema.fields if h.name != beside]
+    df = df.select(*[f"`{h.name}`" for h in have], beside) if beside else df
     if not by_name and len(have) != len(fields):
         raise Precondition(f"{len(have)} columns for {len(fields)} fields")
     own = {h.name.lower(): (i, h) for i, h in enumerate(have)}
     if by_name and (extra := own.keys() - {f.name.lower() for f in fields}):
         raise Precondition(f"unknown columns: {', '.join(sorted(extra))}")
-    plain = df.toDF(*[f"c{i}" for i in range(len(have))])
+    plain = df.toDF(*[f"c{i}" for i in range(len(have))], *[beside] * bool(beside))
     out = []
     for i, f in enumerate(fields):
         at = own.get(f.name.lower()) if by_name else (i, have[i])
         value, kind = (F.col(f"c{at[0]}"), at[1].dataType) if at else (F.lit(None).cast(f.spark()), f.spark())
         out.append(brought(value, kind, f).alias(f.name))
-    return plain.select(*out)
+    return plain.select(*out, *[beside] * bool(beside))
 
 
 def same_shape(result: tuple[Field, ...], target: tuple[Field, ...]) -> None:

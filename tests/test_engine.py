@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from basalt import results, types
-from basalt.errors import AlreadyExists, Conflict, Invalid, NotFound, OutOfRange, Precondition, Unsupported
+from basalt.errors import AlreadyExists, BasaltError, Conflict, Invalid, NotFound, OutOfRange, Precondition, Unsupported
 
 from .conftest import rows
 
@@ -14,11 +14,12 @@ UTC = dt.timezone.utc
 
 
 @pytest.fixture
-def stock(engine):
-    engine.query("CREATE TABLE inventory (id INT64 NOT NULL, name STRING, quantity INT64)")
-    engine.query("CREATE TABLE incoming (id INT64 NOT NULL, name STRING, quantity INT64)")
-    engine.query("INSERT INTO inventory (id, name, quantity) VALUES (1, 'washer', 10), (2, 'dryer', 4)")
-    engine.query("INSERT incoming VALUES (1, 'washer', 15), (3, 'oven', 7)")
+def gauges(engine):
+    """Water levels by gauge, and readings that came in: two of known gauges, one of a new one, one without a gauge."""
+    engine.query("CREATE TABLE levels (gauge STRING NOT NULL, cm FLOAT64, seen DATE, flags ARRAY<STRING>)")
+    engine.query("CREATE TABLE readings (gauge STRING, cm FLOAT64, seen DATE)")
+    engine.query("INSERT INTO levels VALUES ('elbe', 211.5, DATE '2019-05-04', ['ok']), ('oder', NULL, NULL, NULL), ('saale', 98.25, DATE '2019-05-01', ['ok', 'ice']), ('spree', 40.0, NULL, NULL)")
+    engine.query("INSERT readings VALUES ('elbe', 220.0, DATE '2019-05-06'), ('oder', 305.75, DATE '2019-05-06'), ('weser', 12.5, NULL), (NULL, 1.0, NULL)")
     return engine
 
 
@@ -26,74 +27,102 @@ def affected(e, sql):
     return e.query(sql).first()[0]
 
 
-def test_merge_upsert(stock):
-    n = affected(stock, "MERGE inventory AS t USING incoming AS s ON t.id = s.id WHEN MATCHED THEN UPDATE SET quantity = s.quantity WHEN NOT MATCHED THEN INSERT (id, name, quantity) VALUES (s.id, s.name, s.quantity)")
+def levels(e):
+    return {r.gauge: r.cm for r in e.table("levels").collect()}
+
+
+BEFORE = {"elbe": 211.5, "oder": None, "saale": 98.25, "spree": 40.0}
+
+
+def test_merge_changes_what_it_names_and_keeps_the_rest(gauges):
+    n = affected(gauges, "MERGE INTO levels USING readings ON levels.gauge = readings.gauge WHEN MATCHED AND readings.cm > 300 THEN UPDATE SET cm = readings.cm, seen = readings.seen WHEN NOT MATCHED AND readings.gauge IS NOT NULL THEN INSERT (gauge, cm) VALUES (CONCAT(readings.gauge, '-new'), readings.cm * 2)")
     assert n == 2
-    assert rows(stock.table("inventory")) == [(1, "washer", 15), (2, "dryer", 4), (3, "oven", 7)]
+    assert levels(gauges) == BEFORE | {"oder": 305.75, "weser-new": 25.0}
+    assert {r.gauge: r.flags for r in gauges.table("levels").collect()}["saale"] == ["ok", "ice"]
 
 
-def test_merge_takes_the_first_clause_that_holds(stock):
-    stock.query("MERGE inventory t USING incoming s ON t.id = s.id WHEN MATCHED AND t.quantity > 100 THEN DELETE WHEN MATCHED THEN UPDATE SET name = 'second' WHEN MATCHED THEN DELETE WHEN NOT MATCHED AND s.id > 5 THEN INSERT ROW WHEN NOT MATCHED BY SOURCE THEN UPDATE SET quantity = 0")
-    assert rows(stock.table("inventory")) == [(1, "second", 10), (2, "dryer", 0)]
+def test_merge_takes_the_first_clause_that_holds(gauges):
+    n = affected(gauges, "MERGE levels l USING readings r ON l.gauge = r.gauge WHEN MATCHED AND l.cm IS NULL THEN DELETE WHEN MATCHED THEN UPDATE SET cm = -1 WHEN MATCHED THEN DELETE WHEN NOT MATCHED BY SOURCE AND l.cm < 50 THEN DELETE WHEN NOT MATCHED BY SOURCE THEN UPDATE SET cm = l.cm + 1")
+    assert n == 4 and levels(gauges) == {"elbe": -1.0, "saale": 99.25}
 
 
-def test_merge_of_many_for_one_is_an_error(stock):
-    stock.query("INSERT incoming VALUES (1, 'again', 1)")
+def test_merge_of_many_for_one_is_an_error(gauges):
+    gauges.query("INSERT readings (gauge, cm) VALUES ('elbe', 0)")
     with pytest.raises(Invalid, match="several source rows"):
-        stock.query("MERGE inventory t USING incoming s ON t.id = s.id WHEN MATCHED THEN UPDATE SET quantity = s.quantity")
-    assert rows(stock.table("inventory")) == [(1, "washer", 10), (2, "dryer", 4)]
+        gauges.query("MERGE levels l USING readings r ON l.gauge = r.gauge WHEN MATCHED THEN UPDATE SET cm = r.cm")
+    assert levels(gauges) == BEFORE
+    # Several that change nothing are no error: the row stands once.
+    assert affected(gauges, "MERGE levels l USING readings r ON l.gauge = r.gauge WHEN MATCHED AND r.cm > 300 THEN UPDATE SET cm = r.cm") == 1
+    assert levels(gauges) == BEFORE | {"oder": 305.75} and gauges.table("levels").count() == 4
 
 
-def test_merge_unmatched_duplicates_are_inserted(stock):
-    stock.query("INSERT incoming VALUES (9, 'a', 1), (9, 'a', 1)")
-    assert affected(stock, "MERGE inventory t USING incoming s ON t.id = s.id WHEN NOT MATCHED THEN INSERT ROW") == 3
+def test_merge_inserts_equal_source_rows_each(gauges):
+    gauges.query("INSERT readings (gauge, cm) VALUES ('main', 3), ('main', 3)")
+    assert affected(gauges, "MERGE levels l USING (SELECT gauge, cm, seen, ARRAY<STRING>[] AS flags FROM readings WHERE gauge IS NOT NULL) r ON l.gauge = r.gauge WHEN NOT MATCHED THEN INSERT ROW") == 3
+    assert sorted(levels(gauges)) == ["elbe", "main", "oder", "saale", "spree", "weser"] and gauges.table("levels").count() == 7
 
 
-def test_merge_null_condition_matches_nothing(stock):
-    assert affected(stock, "MERGE inventory t USING incoming s ON t.id = s.id AND NULL WHEN MATCHED THEN DELETE") == 0
+def test_merge_on_null_matches_nothing(gauges):
+    assert affected(gauges, "MERGE levels l USING readings r ON l.gauge = r.gauge AND NULL WHEN MATCHED THEN DELETE") == 0
+
+
+def test_update_from(gauges):
+    assert affected(gauges, "UPDATE levels l SET cm = COALESCE(l.cm, 0) + r.cm FROM readings r WHERE l.gauge = r.gauge") == 2
+    assert levels(gauges) == BEFORE | {"elbe": 431.5, "oder": 305.75}
+    gauges.query("INSERT readings (gauge, cm) VALUES ('elbe', 0)")
+    with pytest.raises(Invalid, match="several source rows"):
+        gauges.query("UPDATE levels l SET cm = r.cm FROM readings r WHERE l.gauge = r.gauge")
 
 
-def test_update_from(stock):
-    assert affected(stock, "UPDATE inventory t SET quantity = t.quantity + s.quantity FROM incoming s WHERE t.id = s.id") == 1
-    assert rows(stock.table("inventory")) == [(1, "washer", 25), (2, "dryer", 4)]
+def test_delete_keeps_unknown(gauges):
+    assert affected(gauges, "DELETE FROM levels WHERE cm < 100") == 2
+    assert levels(gauges) == {"elbe": 211.5, "oder": None}
 
 
-def test_delete_keeps_unknown(stock):
-    stock.query("INSERT INTO inventory (id) VALUES (5)")
-    assert affected(stock, "DELETE FROM inventory WHERE quantity < 100") == 2
-    assert rows(stock.table("inventory")) == [(5, None, None)]
+def test_statements_rewrite_only_folders_with_hits(gauges):
+    gauges.query("INSERT INTO levels (gauge, cm) VALUES ('rhein', 500.0), ('isar', 30.0)")
+    folders = lambda: {d["name"] for d in gauges.catalog.table(gauges.ref("levels")).state["data"]}
+    before = folders()
+    assert len(before) == 2
+    assert affected(gauges, "UPDATE levels SET cm = 501 WHERE gauge = 'rhein'") == 1
+    assert len(folders() & before) == 1
+    kept = folders()
+    assert affected(gauges, "DELETE FROM levels WHERE gauge = 'nil'") == 0 and folders() == kept
+    assert affected(gauges, "MERGE levels l USING readings r ON l.gauge = r.gauge WHEN MATCHED AND r.cm > 300 THEN DELETE") == 1
+    assert len(folders() & kept) == 1
+    assert levels(gauges) == {"elbe": 211.5, "saale": 98.25, "spree": 40.0, "rhein": 501.0, "isar": 30.0}
 
 
-@pytest.mark.parametrize("sql", ["DELETE FROM inventory", "UPDATE inventory SET quantity = 1", "SELECT 1; SELECT 2", "INSERT INTO inventory (id, id) VALUES (1, 2)", "INSERT INTO inventory (id, nothing) VALUES (1, 2)", "UPDATE inventory SET nothing = 1 WHERE TRUE", "SELECT (1", "EXPLODE"])
-def test_bad_statements(stock, sql):
+@pytest.mark.parametrize("sql", ["DELETE FROM levels", "UPDATE levels SET cm = 1", "SELECT 1; SELECT 2", "INSERT INTO levels (gauge, gauge) VALUES ('a', 'b')", "INSERT INTO levels (gauge, nothing) VALUES ('a', 2)", "UPDATE levels SET nothing = 1 WHERE TRUE", "SELECT (1", "EXPLODE"])
+def test_bad_statements(gauges, sql):
     with pytest.raises(Invalid):
-        stock.query(sql)
+        gauges.query(sql)
 
 
-def test_required_is_enforced_and_nothing_shows(stock):
+def test_required_is_enforced_and_nothing_shows(gauges):
     with pytest.raises(Invalid, match="REQUIRED"):
-        stock.query("INSERT INTO inventory (name) VALUES ('x')")
-    assert stock.table("inventory").count() == 2
+        gauges.query("INSERT INTO levels (cm) VALUES (7)")
+    assert levels(gauges) == BEFORE
 
 
-def test_static_overwrite_and_template_drift(stock):
-    assert affected(stock, "MERGE inventory d USING (SELECT * FROM incoming) s ON FALSE WHEN NOT MATCHED THEN INSERT ROW WHEN NOT MATCHED BY SOURCE THEN DELETE") == 4
-    assert rows(stock.table("inventory")) == [(1, "washer", 15), (3, "oven", 7)]
+def test_static_overwrite_and_template_drift(gauges):
+    n = affected(gauges, "MERGE levels d USING (SELECT gauge, cm, seen, ['fresh'] AS flags FROM readings WHERE seen IS NOT NULL) s ON FALSE WHEN NOT MATCHED THEN INSERT ROW WHEN NOT MATCHED BY SOURCE THEN DELETE")
+    assert n == 6 and levels(gauges) == {"elbe": 220.0, "oder": 305.75}
     with pytest.raises(Precondition):
-        stock.overwrite("inventory", stock.spark.createDataFrame([("a",)], "id string"))
-    assert stock.table("inventory").count() == 2
+        gauges.overwrite("levels", gauges.spark.createDataFrame([("a",)], "gauge string"))
+    assert gauges.table("levels").count() == 2
 
 
-def test_dispositions(stock):
-    stock.query("SELECT id FROM inventory", destination="d")
+def test_dispositions(gauges):
+    gauges.query("SELECT cm FROM levels", destination="d")
     with pytest.raises(AlreadyExists):
-        stock.query("SELECT id FROM inventory", destination="d")
-    assert stock.query("SELECT id FROM incoming", destination="d", write="WRITE_APPEND").count() == 4
+        gauges.query("SELECT cm FROM levels", destination="d")
+    assert gauges.query("SELECT cm FROM readings", destination="d", write="WRITE_APPEND").count() == 8
     with pytest.raises(Precondition):
-        stock.query("SELECT name FROM incoming", destination="d", write="WRITE_APPEND")
-    assert stock.query("SELECT name FROM incoming", destination="d", write="WRITE_TRUNCATE").columns == ["name"]
+        gauges.query("SELECT gauge FROM readings", destination="d", write="WRITE_APPEND")
+    assert gauges.query("SELECT gauge FROM readings", destination="d", write="WRITE_TRUNCATE").columns == ["gauge"]
     with pytest.raises(NotFound):
-        stock.query("SELECT 1 AS x", destination="none", create="CREATE_NEVER")
+        gauges.query("SELECT 1 AS x", destination="none", create="CREATE_NEVER")
 
 
 def test_anonymous_results_expire(spark, tmp_path):
@@ -111,48 +140,65 @@ def test_anonymous_results_expire(spark, tmp_path):
         e.page(job.id)
 
 
-def test_jobs(stock):
-    stock.submit("SELECT 1 AS x", job_id="j")
+def test_jobs(gauges):
+    gauges.submit("SELECT 1 AS x", job_id="j")
     with pytest.raises(AlreadyExists):
-        stock.submit("SELECT 1 AS x", job_id="j")
+        gauges.submit("SELECT 1 AS x", job_id="j")
     with pytest.raises(Conflict):
-        stock.submit("SELECT 2 AS x", job_id="j")
-    bad = stock.submit("SELECT * FROM missing", job_id="k")
+        gauges.submit("SELECT 2 AS x", job_id="j")
+    bad = gauges.submit("SELECT * FROM missing", job_id="k")
     assert bad.state == "DONE" and isinstance(bad.error, NotFound)
-    assert stock.submit("SELECT id FROM inventory", dry_run=True).destination is None
-    waiting = stock.submit("SELECT COUNT(*) AS n FROM inventory", wait=False)
-    assert stock.catalog.read(waiting.result().destination).first().n == 2
-
-
-def test_pages(stock):
-    job = stock.submit("SELECT id FROM inventory UNION ALL SELECT id FROM incoming")
-    first = stock.page(job.id, limit=3)
-    rest = stock.page(job.id, page_token=first["page_token"])
-    assert first["total"] == 4 and len(first["rows"]) == 3 and len(rest["rows"]) == 1 and "page_token" not in rest
-    other = stock.submit("SELECT id FROM inventory")
+    assert gauges.submit("SELECT cm FROM levels", dry_run=True).destination is None
+    waiting = gauges.submit("SELECT COUNT(cm) AS n FROM levels", wait=False)
+    assert gauges.catalog.read(waiting.result().destination).first().n == 3
+
+
+def test_pages(gauges):
+    job = gauges.submit("SELECT gauge FROM levels UNION ALL SELECT gauge FROM readings")
+    seen, token, sizes = [], None, []
+    while True:
+        page = gauges.page(job.id, page_token=token, limit=3)
+        seen += [r["f"][0]["v"] for r in page["rows"]]
+        sizes.append(len(page["rows"]))
+        if (token := page.get("page_token")) is None:
+            break
+    assert page["total"] == 8 and sizes == [3, 3, 2]
+    assert sorted(seen, key=str) == sorted(["elbe", "oder", "saale", "spree", "elbe", "oder", "weser", None], key=str)
+    other = gauges.submit("SELECT gauge FROM levels")
     with pytest.raises(Invalid):
-        stock.page(other.id, page_token=first["page_token"])
-    assert stock.page(job.id, limit=0)["rows"] == []
-
-
-def test_ddl(stock):
-    stock.query("ALTER TABLE inventory ADD COLUMN tags ARRAY<STRING>")
-    assert rows(stock.table("inventory").select("id", "tags")) == [(1, []), (2, [])]
-    stock.query("ALTER TABLE inventory RENAME COLUMN name TO label")
-    stock.query("ALTER TABLE inventory ALTER COLUMN quantity SET DATA TYPE NUMERIC(10, 2)")
-    stock.query("ALTER TABLE inventory DROP COLUMN tags")
-    assert rows(stock.table("inventory")) == [(1, "washer", Decimal("10.00")), (2, "dryer", Decimal("4.00"))]
-    stock.query("TRUNCATE TABLE inventory")
-    assert stock.table("inventory").count() == 0
-    stock.query("DROP TABLE inventory")
-    with pytest.raises(NotFound):
-        stock.table("inventory")
-    for sql in ("CREATE TABLE incoming (x INT64)", "ALTER TABLE incoming ADD COLUMN name STRING"):
+        gauges.page(other.id, page_token=gauges.page(job.id, limit=3)["page_token"])
+    assert gauges.page(job.id, limit=0)["rows"] == []
+
+
+def test_table_pages_follow_the_stored_order(engine):
+    engine.query("CREATE TABLE long (k INT64)")
+    for at in (0, 40):
+        engine.insert("long", engine.spark.range(at, at + 40).withColumnRenamed("id", "k").repartition(3))
+    whole = [r["f"][0]["v"] for r in engine.table_page("long", 0, 100)]
+    assert sorted(map(int, whole)) == list(range(80)) and set(map(int, whole[:40])) == set(range(40))
+    assert [r["f"][0]["v"] for at in range(0, 80, 7) for r in engine.table_page("long", at, 7)] == whole
+    assert engine.table_page("long", 80, 5) == [] and len(engine.table_page("long", 78, 5)) == 2
+
+
+def test_ddl(gauges):
+    gauges.query("ALTER TABLE readings ADD COLUMN notes ARRAY<STRING>")
+    assert rows(gauges.table("readings").select("cm", "notes").where("cm > 200")) == [(220.0, []), (305.75, [])]
+    gauges.query("ALTER TABLE readings RENAME COLUMN seen TO day")
+    gauges.query("ALTER TABLE readings ALTER COLUMN cm SET DATA TYPE NUMERIC(8, 1)")
+    gauges.query("ALTER TABLE readings DROP COLUMN notes")
+    got = gauges.table("readings")
+    assert got.columns == ["gauge", "cm", "day"] and {r.cm for r in got.collect()} == {Decimal("220.0"), Decimal("305.8"), Decimal("12.5"), Decimal("1.0")}
+    for sql in ("CREATE TABLE levels (x INT64)", "ALTER TABLE levels ADD COLUMN cm STRING"):
         with pytest.raises(AlreadyExists):
-            stock.query(sql)
-    for sql in ("CREATE TABLE IF NOT EXISTS t (x INT64)", "CREATE VIEW v AS SELECT 1", "DECLARE x INT64", "ALTER TABLE incoming ADD COLUMN a INT64, ADD COLUMN b INT64"):
+            gauges.query(sql)
+    gauges.query("TRUNCATE TABLE levels")
+    assert levels(gauges) == {}
+    gauges.query("DROP TABLE levels")
+    with pytest.raises(NotFound):
+        gauges.table("levels")
+    for sql in ("CREATE TABLE IF NOT EXISTS t (x INT64)", "CREATE VIEW v AS SELECT 1", "DECLARE x INT64", "ALTER TABLE readings ADD COLUMN a INT64, ADD COLUMN b INT64"):
         with pytest.raises((Unsupported, Invalid)):
-            stock.query(sql)
+            gauges.query(sql)
 
 
 def test_nested_types(engine):
@@ -258,27 +304,31 @@ def test_bad_restrictions(text):
 
 
 def test_dynamic_overwrite(engine):
-    engine.create_table("t", [{"name": "id", "type": "INT64"}, {"name": "day", "type": "DATE"}], time_partitioning={"type": "DAY", "field": "day"})
-    make = lambda *r: engine.spark.createDataFrame([(i, dt.date.fromisoformat(d) if d else None) for i, d in r], "id long, day date")
-    engine.insert("t", make((1, "2026-01-01"), (2, "2026-01-02"), (3, "2026-01-03"), (4, None)))
-    assert engine.overwrite_partitions("t", make((5, "2026-01-01"), (6, "2026-01-01"), (7, "2026-01-03"), (8, None))) == 6
-    assert sorted(r.id for r in engine.table("t").collect()) == [2, 4, 5, 6, 7, 8]
+    engine.create_table("visits", [{"name": "who", "type": "STRING"}, {"name": "at", "type": "DATETIME"}], time_partitioning={"type": "MONTH", "field": "at"})
+    when = lambda text: dt.datetime.fromisoformat(text) if text else None
+    make = lambda **r: engine.spark.createDataFrame([(k, when(v)) for k, v in r.items()], "who string, at timestamp_ntz")
+    engine.insert("visits", make(ada="2011-11-30T23:59:59", bo="2011-12-01T00:00:00", cy="2011-12-31T12:00:00", di=None))
+    engine.insert("visits", make(ed="2012-02-29T08:00:00"))
+    # December goes (bo, cy) and takes two new rows; a row without a month is added beside the old one.
+    assert engine.overwrite_partitions("visits", make(flo="2011-12-24T18:00:00", gus="2011-12-05T07:30:00", hal=None)) == 5
+    assert sorted(r.who for r in engine.table("visits").collect()) == ["ada", "di", "ed", "flo", "gus", "hal"]
+    assert engine.overwrite_partitions("visits", make(ivo="2020-01-01T00:00:00")) == 1  # a new month: nothing goes
 
 
-SCRIPT = "DECLARE p DEFAULT (SELECT ARRAY_AGG(DISTINCT(date_trunc(`day`, DAY)) IGNORE NULLS) FROM `main.s`); \nMERGE `main.t` AS `x`\nUSING `main.s` AS `y`\nON FALSE\nWHEN NOT MATCHED BY SOURCE AND (TRUE) AND date_trunc(`x`.`day`, DAY) IN UNNEST(p) THEN DELETE\nWHEN NOT MATCHED BY TARGET THEN\nINSERT(`id`,`day`) VALUES(`y`.`id`,`y`.`day`)"
+SCRIPT = "DECLARE p DEFAULT (SELECT ARRAY_AGG(DISTINCT(date_trunc(`day`, DAY)) IGNORE NULLS) FROM `main.fresh`); \nMERGE `main.sums` AS `x`\nUSING `main.fresh` AS `y`\nON FALSE\nWHEN NOT MATCHED BY SOURCE AND (TRUE) AND date_trunc(`x`.`day`, DAY) IN UNNEST(p) THEN DELETE\nWHEN NOT MATCHED BY TARGET THEN\nINSERT(`total`,`day`) VALUES(`y`.`total`,`y`.`day`)"
 
 
 def test_partition_overwrite_script(engine):
-    for t in "ts":
-        engine.query(f"CREATE TABLE {t} (id INT64, day DATE)")
-    engine.query("INSERT INTO t VALUES (1, DATE '2026-01-01'), (2, DATE '2026-01-02'), (4, NULL)")
-    engine.query("INSERT INTO s VALUES (5, DATE '2026-01-01'), (8, NULL)")
-    assert engine.query(SCRIPT).first()[0] == 3
-    assert sorted(r.id for r in engine.table("t").collect()) == [2, 4, 5, 8]
-    for near in (SCRIPT.replace("(TRUE)", "(FALSE)"), SCRIPT.replace("`y`.`id`", "`y`.`day`"), SCRIPT.replace("date_trunc(`x`", "lower(`x`"), "DECLARE a DEFAULT 1; SELECT a", SCRIPT.replace("date_trunc", "RANGE_BUCKET")):
+    for t in ("sums", "fresh"):
+        engine.query(f"CREATE TABLE {t} (total FLOAT64, day DATE)")
+    engine.query("INSERT INTO sums VALUES (0.5, DATE '2003-07-09'), (0.25, DATE '2003-07-09'), (7.5, DATE '2003-08-01'), (9.0, NULL)")
+    engine.query("INSERT INTO fresh VALUES (1.5, DATE '2003-07-09'), (11.0, NULL)")
+    assert engine.query(SCRIPT).first()[0] == 4
+    assert sorted(r.total for r in engine.table("sums").collect()) == [1.5, 7.5, 9.0, 11.0]
+    for near in (SCRIPT.replace("(TRUE)", "(FALSE)"), SCRIPT.replace("`y`.`total`", "`y`.`day`"), SCRIPT.replace("date_trunc(`x`", "lower(`x`"), "DECLARE a DEFAULT 1; SELECT a", SCRIPT.replace("date_trunc", "RANGE_BUCKET")):
         with pytest.raises((Invalid, Unsupported)):
             engine.query(near)
-    assert engine.table("t").count() == 4
+    assert engine.table("sums").count() == 4
 
 
 def test_load(engine, tmp_path):
@@ -358,3 +408,59 @@ def test_packed_datetime(spark):
 )
 def test_spelling(engine, sql, want):
     assert rows(engine.query(sql)) == [want]
+
+
+def test_left_join_unnest_keeps_rows_without_elements(engine):
+    engine.query("CREATE TABLE bags (bag INT64, things ARRAY<STRING>)")
+    engine.query("INSERT INTO bags VALUES (1, ['rope', 'lamp']), (2, ARRAY<STRING>[]), (3, NULL)")
+    got = engine.frame("SELECT b.bag, x, place FROM bags AS b LEFT JOIN UNNEST(b.things) AS x WITH OFFSET AS place")
+    assert rows(got) == [(1, "lamp", 1), (1, "rope", 0), (2, None, None), (3, None, None)]
+    assert rows(engine.frame("SELECT bag, x, n FROM bags, UNNEST(things) AS x, UNNEST([7]) AS n WHERE bag = 1")) == [(1, "lamp", 7), (1, "rope", 7)]
+
+
+def test_text_that_looks_like_syntax_stays(engine):
+    assert rows(engine.frame("SELECT 'a UNION DISTINCT b' AS v, 'IGNORE NULLS' AS w")) == [("a UNION DISTINCT b", "IGNORE NULLS")]
+
+
+def test_nulls_in_arrays_and_json(engine):
+    engine.query("CREATE TABLE marks (k INT64, v INT64)")
+    engine.query("INSERT INTO marks VALUES (1, 4), (2, NULL), (3, 9)")
+    got = engine.frame("SELECT ARRAY_AGG(v RESPECT NULLS ORDER BY k) AS a, ARRAY_AGG(v IGNORE NULLS ORDER BY k DESC LIMIT 1) AS b, ARRAY_AGG(v IGNORE NULLS ORDER BY k) AS c FROM marks").collect()[0]
+    assert (got.a, got.b, got.c) == ([4, None, 9], [9], [4, 9])
+    assert engine.frame("SELECT ARRAY_AGG(v) AS a FROM marks WHERE k > 3").collect()[0].a is None
+    assert [r.j for r in engine.frame("SELECT TO_JSON(STRUCT(k, v)) AS j FROM marks ORDER BY k").collect()] == ['{"k":1,"v":4}', '{"k":2,"v":null}', '{"k":3,"v":9}']
+    one = engine.frame("SELECT TO_JSON(5) AS a, TO_JSON('x') AS b, TO_JSON([1, 2]) AS c, TO_JSON(NULL) AS d").collect()[0]
+    assert tuple(one) == ("5", '"x"', "[1,2]", "null")
+
+
+def test_typed_literals_and_star_replace(engine):
+    got = engine.frame("SELECT ARRAY<STRUCT<k INT64, tags ARRAY<STRING>>>[STRUCT(1, ['u'])] AS a, STRUCT<INT64, STRING>(2, 'q') AS b, ARRAY<INT64>[] AS c").collect()[0]
+    assert (got.a[0].k, got.a[0].tags, tuple(got.b), got.c) == (1, ["u"], (2, "q"), [])
+    engine.query("CREATE TABLE pens (id INT64, ink STRING, ml NUMERIC)")
+    engine.query("INSERT INTO pens VALUES (1, 'blue', 2), (2, 'red', 3)")
+    got = engine.frame("SELECT * EXCEPT (ml) REPLACE (UPPER(ink) AS ink) FROM pens WHERE id = 1 ORDER BY id")
+    assert got.columns == ["id", "ink"] and rows(got) == [(1, "BLUE")]
+    assert rows(engine.frame("SELECT REPLACE(ink, 'b', 'g') AS x, id * 2 AS y FROM pens")) == [("glue", 2), ("red", 4)]
+
+
+def test_an_update_finds_its_own_tables(engine):
+    engine.query("CREATE TABLE top (k INT64, v INT64)")
+    engine.query("CREATE TABLE low (k INT64, v INT64)")
+    engine.query("INSERT INTO top VALUES (1, 10), (2, 20)")
+    engine.query("INSERT INTO low VALUES (1, 0), (2, 0), (3, 0)")
+    assert engine.submit("UPDATE low SET v = (SELECT MAX(v) FROM top) FROM (SELECT k AS other FROM top) s WHERE low.k = s.other").result().affected == 2
+    assert rows(engine.frame("SELECT * FROM low")) == [(1, 20), (2, 20), (3, 0)]
+    jobs = [engine.submit("SELECT COUNT(*) AS n FROM top JOIN low USING (k)", wait=False) for _ in range(4)]
+    assert [engine.catalog.read(j.result(60).destination).collect()[0].n for j in jobs] == [2] * 4
+    assert not [t.name for t in engine.spark.catalog.listTables() if t.name.startswith("basalt_")]
+
+
+def test_update_of_a_field_in_a_record(engine):
+    engine.query("CREATE TABLE homes (id INT64, at STRUCT<city STRING, geo STRUCT<lat FLOAT64, lon FLOAT64>>)")
+    engine.query("INSERT INTO homes VALUES (1, STRUCT('Oslo', STRUCT(59.9, 10.7))), (2, NULL)")
+    assert engine.submit("UPDATE homes SET at.geo.lat = 60.0, homes.at.city = UPPER('bergen') WHERE TRUE").result().affected == 2
+    got = {r.id: r["at"] for r in engine.frame("SELECT * FROM homes").collect()}
+    assert (got[1].city, got[1].geo.lat, got[1].geo.lon, got[2].city, got[2].geo.lon) == ("BERGEN", 60.0, 10.7, "BERGEN", None)
+    for bad in ("at.street = 'x'", "id.part = 1", "at = NULL, at.city = 'x'"):
+        with pytest.raises(BasaltError):
+            engine.query(f"UPDATE homes SET {bad} WHERE TRUE")
