@@ -22,9 +22,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node sees, from ``spark.checkpoint.dir``; where that is unset (tests), a local one."""
+    """The folder every node sees, from ``spark.checkpoint.dir``; where that is unset on a local master (tests), a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that every node sees")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="basalt-"))
         found = _own[0]

@@ -22,6 +22,9 @@ Buckets whose members then belong to different components are compared across co
 by pair; the members of large ones form families, whose sets meet in blocks of bounded size that return at
 most a link per member. So every link between components is found. Comparison is of the whole sets.
 
+No pair shares more than the shingles that either has with anybody, so sets and pairs whose unique shingles rule
+a link out leave a bucket before any set is sent: pages of one template with words of their own cost a row each.
+
 A null or empty text has no shingles, links with nothing and is its own component; a text with fewer words
 than a shingle is one shingle. Rows that share an id share its component if either links. Null ids count
 in no minimum. An empty table gives no rows. Extra columns are ignored.
@@ -208,12 +211,12 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def signatures(own: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndarray, int]:
-    """(index keys, unique shingles per thousand)."""
+    """(index keys, number of unique shingles)."""
     n = len(own)
     unique, rare, common = classes.part(own)
     missing = n - least_overlap(n, percent) + 1 - unique
     if missing <= 0:
-        return own[:0], 1000 * unique // n
+        return own[:0], unique
     keys = [mix(rare[:missing])]
     missing -= len(rare)
     if missing > 0:
@@ -233,11 +236,11 @@ def signatures(own: np.ndarray, classes: Classes, percent: int) -> tuple[np.ndar
             while d < m and (same := b[d:] == b[:-d]).any():
                 keys.append(mix((s[:-d][same] * U(0x9E3779B97F4A7C15) + s[d:][same]) ^ salt))
                 d += 1
-    return np.unique(np.concatenate(keys)), 1000 * unique // n
+    return np.unique(np.concatenate(keys)), unique
 
 
 def indexed(left: DataFrame, percent: int, sent) -> DataFrame:
-    """key, cls, n, single: a row for each index key of each set."""
+    """key, cls, n, single, common: a row for each index key of each set; ``common`` shingles are not unique."""
 
     def run(batches):
         known = Classes.got(sent.value)
@@ -245,8 +248,8 @@ def indexed(left: DataFrame, percent: int, sent) -> DataFrame:
             out, size = [], 0
             for k in range(batch.num_rows):
                 cls, own = batch.column(0)[k].as_py(), np.frombuffer(batch.column(1)[k].as_buffer(), U)
-                keys, single = signatures(own, known, percent)
-                out.append((keys, cls, len(own), single))
+                keys, unique = signatures(own, known, percent)
+                out.append((keys, cls, len(own), 1000 * unique // len(own), len(own) - unique))
                 size += len(keys)
                 if size >= 1 << 18:
                     yield rows(out)
@@ -256,9 +259,9 @@ def indexed(left: DataFrame, percent: int, sent) -> DataFrame:
 
     def rows(out):
         times = [len(o[0]) for o in out]
-        return {"key": longs(np.concatenate([o[0] for o in out])), "cls": np.repeat([o[1] for o in out], times), "n": np.repeat([o[2] for o in out], times), "single": np.repeat(np.array([o[3] for o in out], np.int32), times)}
+        return {"key": longs(np.concatenate([o[0] for o in out]))} | {c: np.repeat(np.array([o[k] for o in out], kind), times) for k, (c, kind) in enumerate((("cls", np.int64), ("n", np.int64), ("single", np.int32), ("common", np.int64)), 1)}
 
-    return map_batches(left.select("cls", "own"), run, "key long, cls long, n long, single int")
+    return map_batches(left.select("cls", "own"), run, "key long, cls long, n long, single int, common long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -337,25 +340,27 @@ def family_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(left: DataFrame, percent: int, classes: Classes) -> DataFrame:
     """a, b: verified links between the sets (cls, n, own), enough to connect all that are linked."""
     sent = classes.sent(left.sparkSession)
-    members = indexed(left, percent, sent)
-    buckets = members.groupBy("key").agg(F.min(F.struct("single", "cls", "n")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    shared = stored(members.join(buckets, "key").select("key", "cls", "n", "members", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "shared")
-
+    members = indexed(left, percent, sent).withColumn("reach", (100 + percent) * F.col("common") - percent * F.col("n"))
+    buckets = members.groupBy("key").agg(F.min(F.struct("single", "cls", "n", "reach")).alias("pivot"), F.count("*").alias("members"), F.max("reach").alias("farthest"), F.min("n").alias("least")).where("members > 1")
+    # Sets share at most what neither has alone: sets x and y link only if x reaches y's size and y reaches x's.
+    able = (F.col("farthest") >= percent * F.col("n")) & (F.col("reach") >= percent * F.col("least"))
+    shared = stored(members.join(buckets, "key").where(able).select("key", "cls", "n", "reach", "members", F.col("pivot.cls").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.reach").alias("pivot_reach")), "shared")
     sent.destroy()
 
-    def alike(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    def alike(x: str, y: str, reach_x: str, reach_y: str):
+        sizes = 100 * F.least(x, y) >= percent * F.greatest(x, y)
+        return sizes & (F.col(reach_x) >= percent * F.col(y)) & (F.col(reach_y) >= percent * F.col(x))
 
-    tried = stored(shared.where((F.col("cls") != F.col("pivot")) & alike("n", "pivot_n")).select(*pair("cls", "pivot")).distinct(), "tried")
+    tried = stored(shared.where((F.col("cls") != F.col("pivot")) & alike("n", "pivot_n", "reach", "pivot_reach")).select(*pair("cls", "pivot")).distinct(), "tried")
     stars = stored(verified(tried, left, percent), "links")
     labels = connected(stars)
-    placed = shared.select("key", "cls", "n", "members").join(labels, shared["cls"] == labels["node"], "left").select("key", "cls", "n", "members", F.coalesce("label", "cls").alias("part"))
+    placed = shared.select("key", "cls", "n", "reach", "members").join(labels, shared["cls"] == labels["node"], "left").select("key", "cls", "n", "reach", "members", F.coalesce("label", "cls").alias("part"))
     placed = stored(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     open_ = stored(placed.join(mixed, "key"), "open")
     one = open_.where(F.col("members") <= SMALL)
-    two = one.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-    rest = one.join(two, "key").where((F.col("part") < F.col("part2")) & alike("n", "n2")).select(*pair("cls", "cls2")).distinct()
+    two = one.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("reach").alias("reach2"))
+    rest = one.join(two, "key").where((F.col("part") < F.col("part2")) & alike("n", "n2", "reach", "reach2")).select(*pair("cls", "cls2")).distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti")
     large = family_links(open_.where(F.col("members") > SMALL), left, percent)
     return stars.union(stored(verified(rest, left, percent).union(large), "links"))

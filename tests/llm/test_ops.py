@@ -235,6 +235,27 @@ def test_jaccard_with_families(docs, monkeypatch):
     assert sorted_rows(jaccard.components(docs, 4, 85).select("doc_id", "component_id").collect()) == want
 
 
+def test_template_pages_leave_their_buckets(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"t{k}" for k in range(400)]
+
+    def page(i):
+        at = r.randrange(360)
+        return " ".join([*base[:at], *[f"own{i}x{k}" for k in range(40)], *base[at + 40 :]])
+
+    pages = [(i, page(i)) for i in range(150)] + [(900, " ".join(base)), (901, " ".join(base[:395]) + " end")]
+    sent = []
+    verified, families = jaccard.verified, jaccard.family_links
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, sets, percent: (sent.append(pairs.count()), verified(pairs, sets, percent))[1])
+    monkeypatch.setattr(jaccard, "family_links", lambda large, sets, percent: (sent.append(large.count()), families(large, sets, percent))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.components(spark.createDataFrame(pages, "doc_id long, text string"), 4, 85).collect()}
+    shingled = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in pages}
+    links = [(i, j) for i in shingled for j in shingled if i < j and 100 * len(shingled[i] & shingled[j]) >= 85 * len(shingled[i] | shingled[j])]
+    assert {(i, j) for i, j in links if j < 900} == set() and (900, 901) in links
+    assert all((got[i] == got[j]) for i, j in links)
+    assert sum(sent) <= 2 * len(pages)  # not a pair for each two pages
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.node: r.label for r in graph.connected(edges).collect()}
