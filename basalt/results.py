@@ -7,13 +7,13 @@ import datetime as dt
 import hashlib
 import json
 import math
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .errors import Invalid
-from .sources.storage import HIDDEN
 from .types import NAME, Field
 
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
@@ -79,14 +79,14 @@ def _fraction(micros: int) -> str:
     return f".{micros:06d}".rstrip("0") if micros else ""
 
 
-def page(frame: DataFrame, fields: tuple[Field, ...], rows: int, offset: int, limit: int = PAGE_ROWS, micros: bool = False) -> list[dict]:
-    """Rows from ``offset`` in the table's stable order, at most ``limit``; the page is all that reaches the driver."""
+def page(read: Callable[[int, int], DataFrame], fields: tuple[Field, ...], rows: int, offset: int, limit: int = PAGE_ROWS, micros: bool = False) -> list[dict]:
+    """Rows from ``offset`` in the table's stable order, at most ``limit``; ``read`` gives those of positions from and to before."""
     if offset < 0 or limit < 0:
         raise Invalid("offset and limit are not negative")
     limit = min(limit, PAGE_ROWS)
     if offset >= rows or not limit:
         return []
-    got = frame.orderBy(*HIDDEN).offset(offset).limit(limit).drop(*HIDDEN).collect()
+    got = read(offset, min(rows, offset + limit)).collect()
     out, size = [], 0
     for row in got:
         made = {"f": [{"v": cell(row[i], f, micros)} for i, f in enumerate(fields)]}

@@ -14,10 +14,9 @@ from .. import types
 from ..catalog import Catalog, Ref
 from ..errors import Invalid, NotFound, OutOfRange
 from . import restriction as language
+from .positions import Run, between, in_order, runs_of
 from .storage import GENERATION, HIDDEN, ORDINAL
 
-#: Ordinals are a write task's number and, in the low bits, the row's number in the task.
-TASK_BITS = 33
 SESSION_SECONDS = 6 * 3600
 
 
@@ -40,7 +39,7 @@ class Session:
     rows: int
     expires: float
     frame: DataFrame = field(repr=False)
-    runs: list[tuple[int, int, int]] = field(repr=False)  # first position, generation, task
+    runs: list[Run] = field(repr=False)
 
 
 def ranges(rows: int, count: int) -> list[tuple[int, int]]:
@@ -75,18 +74,13 @@ class Reader:
         frame = self.catalog.read(info, hidden=True)
         names = [f"`{f.name}`" for f in chosen]
         if restriction.strip():
-            passed = frame.where(language.parse(restriction, info.fields)).orderBy(*HIDDEN).select(*names)
+            passed = frame.where(language.parse(restriction, info.fields)).select(*names)  # in the scan's order
             path = f"{self.scratch}/read-{uuid.uuid4().hex}"
             passed.withColumn(GENERATION, F.lit(0)).withColumn(ORDINAL, F.monotonically_increasing_id()).write.parquet(path)
             frame = self.catalog.spark.read.parquet(path)
         else:
             frame = frame.select(*names, *HIDDEN)
-        # One row per write task, not per row: where each task's rows begin.
-        tasks = frame.groupBy(GENERATION, F.shiftright(ORDINAL, TASK_BITS).alias("task")).agg(F.count("*").alias("n")).orderBy(GENERATION, "task").collect()
-        runs, rows = [], 0
-        for t in tasks:
-            runs.append((rows, t[GENERATION], t.task))
-            rows += t.n
+        runs, rows = runs_of(frame)
         name = uuid.uuid4().hex
         made = [Stream(f"{name}/{k}", a, b) for k, (a, b) in enumerate(ranges(rows, max(1, streams or 4)))]
         self.sessions[name] = Session(name, chosen, made, rows, self.clock() + SESSION_SECONDS, frame, runs)
@@ -97,19 +91,27 @@ class Reader:
         session, own = self._stream(stream)
         if not 0 <= offset <= own.rows:
             raise OutOfRange(f"offset {offset} of {own.rows} rows")
-        return self._between(session, own.start + offset, own.end).orderBy(*HIDDEN).drop(*HIDDEN)
+        return in_order(between(session.frame, session.runs, own.start + offset, own.end))
 
     def batches(self, stream: str, offset: int = 0, size: int = 10_000):
-        """Arrow batches of bounded size with the share of the stream that is done; the driver holds one at a time."""
+        """Arrow batches of bounded size with the share of the stream that is done: one job, and the driver holds a partition at a time."""
         session, own = self._stream(stream)
         kind = types.spark_schema(session.fields)
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        shape = to_arrow_schema(kind)
-        for at in range(own.start + offset, own.end, size):
-            upto = min(at + size, own.end)
-            got = self._between(session, at, upto).orderBy(*HIDDEN).drop(*HIDDEN).toArrow().cast(shape)
-            yield got.combine_chunks().to_batches()[0] if len(got) else pa.RecordBatch.from_pylist([], shape), (upto - own.start) / own.rows
+        def packed(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(at, size))
+                    yield pa.RecordBatch.from_pydict({"batch": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        done = offset
+        for row in self.frame(stream, offset).mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+            got = pa.ipc.open_stream(row.batch).read_all().cast(to_arrow_schema(kind)).combine_chunks()
+            done += len(got)
+            yield got.to_batches()[0], done / own.rows
 
     def split(self, stream: str, fraction: float) -> tuple[Stream, Stream]:
         session, own = self._stream(stream)
@@ -126,18 +128,3 @@ class Reader:
         if own is None:
             raise NotFound(f"stream {name}")
         return session, own
-
-    def _between(self, session: Session, start: int, end: int) -> DataFrame:
-        """Rows at positions start to before end, as bounds on (generation, ordinal)."""
-        if start >= end:
-            return session.frame.limit(0)
-        gen, order = F.col(GENERATION), F.col(ORDINAL)
-
-        def place(position: int) -> tuple[int, int]:
-            first, generation, task = next(r for r in reversed(session.runs) if r[0] <= position)
-            return generation, (task << TASK_BITS) + position - first
-
-        (g1, o1), (g2, o2) = place(start), place(end - 1)
-        if g1 == g2:
-            return session.frame.where((gen == g1) & order.between(o1, o2))
-        return session.frame.where(((gen == g1) & (order >= o1)) | ((gen > g1) & (gen < g2)) | ((gen == g2) & (order <= o2)))

@@ -11,9 +11,15 @@ _own: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by ``spark.checkpoint.dir``; where that is unset (tests), in a local one."""
+    """A fresh path in the folder named by ``spark.checkpoint.dir``; where that is unset on a local master (tests), in a local one.
+
+    The caller's tables live there as long as it wants them; nothing deletes them.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that every node sees")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="basalt-"))
         found = _own[0]
