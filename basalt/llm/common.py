@@ -44,19 +44,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._basalt_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing that is still to run reads it."""
+    _delete(df.sparkSession, df._basalt_path)
+    _scratch[:] = [x for x in _scratch if x[1] != df._basalt_path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release() -> None:
     """Delete every scratch table of this driver."""
     while _scratch:
-        spark, path = _scratch.pop()
-        jvm = spark.sparkContext._jvm
-        if jvm is None:
-            continue
         try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_scratch.pop())
         except Exception:  # the gateway may already be gone at interpreter exit
             continue
 

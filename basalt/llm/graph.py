@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,8 @@ def connected(edges: DataFrame) -> DataFrame:
         next_ = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         root = labels.select(F.col("node").alias("root"), F.col("label").alias("root_label"))
         jumped = next_.join(root, next_["label"] == root["root"], "left").select("node", "was", F.least("label", "root_label").alias("label"))
-        labels = stored(jumped, "labels")
+        before, labels = labels, stored(jumped, "labels")
+        discard(before)
         if labels.where("was <> label").isEmpty():
+            discard(both)
             return labels.select("node", "label")

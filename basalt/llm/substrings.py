@@ -13,6 +13,7 @@ matches extend to whole windows, which are compared by 128-bit hashes with all o
 
 Windows are judged on the input. A null text has no words. Each row is a text of its own: repeated rows
 repeat each other's windows. A text of fewer words than a window is kept whole. Extra columns are ignored.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ ANCHOR_BITS, ROW_BITS = 28, 24
 #: Windows settled at a time by a task.
 CHUNK = 1 << 20
 U = np.uint64
-EMPTY = hashlib.sha256(b"").hexdigest()
-SPAN = np.dtype([("row", "<u8"), ("a", "<i8"), ("b", "<i8")])
 
 
 def row_key(doc: int | None, text: bytes) -> int:
@@ -138,25 +137,37 @@ def candidates(docs: DataFrame, width: int, marked: Bitmap) -> DataFrame:
 
 
 def repeated_ranges(found: DataFrame) -> DataFrame:
-    """key, spans: the ranges of window starts that repeat, a row for each text that has any."""
+    """key, spans: the ranges of window starts that repeat, a row for each text that has any.
+
+    Windows arrive sorted by hash, so a task holds a batch and the last window of the batch before.
+    """
 
     def run(batches):
-        held = []
+        last = None  # (its row as columns, whether it is known to repeat and was told so)
         for batch in batches:
-            yield {k: batch.filter(batch.column(1).is_null()).column(i) for i, k in ((2, "key"), (3, "a"), (4, "b"))}
-            held.append(batch.filter(batch.column(1).is_valid()))
-        whole = pa.Table.from_batches(held) if held else None
-        if whole is None or not len(whole):
-            return
-        h, h2, row, at, n = (whole.column(i).to_numpy() for i in range(5))
-        order, first, rows = settle(h.view(U), h2.view(U))
-        twice = np.repeat((rows > 1) | (n[order][first] > 1), rows)
-        if twice.any():
-            got = ranges(row.view(U)[order][twice], at[order][twice])
-            yield {k: got[k] for k in ("key", "a", "b")}
+            settled = batch.filter(batch.column(1).is_null())
+            if settled.num_rows:
+                yield {"key": settled.column(2), "a": settled.column(3), "b": settled.column(4)}
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows:
+                continue
+            h, h2, row, at, n = (batch.column(i).to_numpy() for i in range(5))
+            told = np.zeros(len(h), bool)
+            if last is not None:
+                h, h2, row, at, n = (np.concatenate([x, y]) for x, y in zip(last[0], (h, h2, row, at, n), strict=True))
+                told = np.concatenate([[last[1]], told])
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+            first = np.flatnonzero(new)
+            rows = np.diff(np.append(first, len(h)))
+            repeats = np.repeat((rows > 1) | (np.maximum.reduceat(n, first) > 1) | told[first], rows)
+            tell = repeats & ~told
+            if tell.any():
+                got = ranges(row.view(U)[tell], at[tell])
+                yield {k: got[k] for k in ("key", "a", "b")}
+            last = tuple(x[-1:] for x in (h, h2, row, at, n)), bool(repeats[-1])
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = map_batches(found.repartition(parts, "h"), run, "key long, a long, b long")
+    made = map_batches(found.repartition(parts, "h").sortWithinPartitions("h", "h2"), run, "key long, a long, b long")
     return made.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
