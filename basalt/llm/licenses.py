@@ -1,48 +1,36 @@
 """License scans with a positional index of rare template words.
 
-Templates are short license notices. Each word's rarity over the templates is its inverse document
-frequency; the index holds, for each template's rarest words, where they stand. A text is looked up by
-those words only: every occurrence votes for (template, text position - template position), and places
-with votes from several words are compared word by word. A template counts as found if enough of its
-words agree there and its mandatory phrase stands in the matched stretch.
+Templates are the wordings of licences and of the notices that name them. Each word's rarity over the templates
+is its inverse document frequency; the index holds, for each template's rarest words, where they stand. A text is
+looked up by those words only: every occurrence votes for (template, text position - template position). Votes
+whose offsets differ by ``DRIFT`` words at most belong to one place, so that words put in or left out between
+them don't matter. Where several words vote, template and text are aligned. A template counts as found if enough
+of its words stand there in order, and its mandatory phrase stands in the matched stretch.
 
 Words are runs of ASCII letters and digits (A-Z lowered) and of characters beyond ASCII. Three base
 phrases are counted wherever they stand. A null or empty text has no words, no places and the score 0.
-Each row is scanned by itself; extra columns are ignored. No shuffle.
+Each row is scanned by itself, repeated rows too; an empty table gives no rows; extra columns are ignored.
+No shuffle: memory is that of one batch and the index.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
 
 from .common import id_text, map_batches, texts_of
+from .license_texts import TEMPLATES
 
 #: Phrase, label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label, notice, mandatory phrase.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
-    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "binary forms"),
-    ("bsd", "released under the bsd license", "bsd license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
-    ("cc-by", "licensed under cc by 4 0", "cc by"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work", "waived all copyright"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "general public license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-]
-#: Rarest words of a template that are indexed.
-RARE = 4
-#: Share of a template's words that must agree in place.
+#: Rarest words of a template that are indexed: so many, or one in ``EACH`` of its words if that is more.
+RARE, EACH = 4, 12
+#: How far the offsets of one place may lie apart: words put in or left out.
+DRIFT = 12
+#: Share of a template's words that must stand in order.
 AGREE = 0.7
 
 _SEPARATES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -54,12 +42,15 @@ def words_of(text: bytes) -> list[bytes]:
 
 class Index:
     def __init__(self, templates=TEMPLATES):
-        self.templates = [(label, notice.encode().split(), phrase.encode().split()) for label, notice, phrase in templates]
+        self.templates = [(label, words_of(notice.encode()), phrase.encode().split()) for label, notice, phrase in templates]
         df = Counter(w for _, words, _ in self.templates for w in set(words))
         idf = {w: math.log((1 + len(self.templates)) / n) for w, n in df.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.needed: list[int] = []
         for t, (_, words, _) in enumerate(self.templates):
-            for w in sorted(set(words), key=lambda w: (-idf[w], w))[:RARE]:
+            chosen = sorted(set(words), key=lambda w: (-idf[w], w))[: max(RARE, len(words) // EACH)]
+            self.needed.append(max(2, len(chosen) // 3))
+            for w in chosen:
                 self.postings[w] += [(t, i) for i, x in enumerate(words) if x == w]
         self.rare = frozenset(self.postings)
 
@@ -67,22 +58,41 @@ class Index:
         """(label, first word, end, agreement) of each place where a template stands."""
         if self.rare.isdisjoint(words):
             return []
-        votes: dict[tuple[int, int], int] = Counter()
+        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in enumerate(words):
             if w in self.rare:
                 for t, at in self.postings[w]:
-                    votes[t, i - at] += 1
+                    votes[t].append((i - at, at))
         found = []
-        for (t, start), n in votes.items():
-            label, notice, phrase = self.templates[t]
-            if n < min(2, len(set(notice))):
-                continue
-            same = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(notice))
-            a, b = max(0, start), min(len(words), start + len(notice))
-            if same >= AGREE * len(notice) and places(words[a:b], phrase):
-                found.append((label, a, b, same / len(notice)))
+        for t, own in votes.items():
+            own.sort()
+            done, last = -math.inf, 0
+            met: Counter = Counter()  # template positions that vote from offset own[first] on
+            for first, (start, at) in enumerate(own):
+                while last < len(own) and own[last][0] <= start + DRIFT:
+                    met[own[last][1]] += 1
+                    last += 1
+                if start > done and len(met) >= self.needed[t] and (hit := self._stands(t, words, start, own[first:last])):
+                    found.append(hit)
+                    done = start + DRIFT
+                met[at] -= 1
+                if not met[at]:
+                    del met[at]
         return found
 
+    def _stands(self, t: int, words: list[bytes], start: int, votes: list[tuple[int, int]]) -> tuple[str, int, int, float] | None:
+        label, notice, phrase = self.templates[t]
+        a, b = max(0, start), min(len(words), votes[-1][0] + len(notice))
+        if not places(words[a:b], phrase):
+            return None
+        same = 0
+        for offset, _ in Counter(o for o, _ in votes).most_common(2):  # as it stands, word for word
+            same = max(same, sum(0 <= offset + k < len(words) and words[offset + k] == w for k, w in enumerate(notice)))
+        if same < len(notice):
+            blocks = SequenceMatcher(None, notice, words[a:b], autojunk=False).get_matching_blocks()
+            same = max(same, sum(x.size for x in blocks))
+        return (label, a, b, same / len(notice)) if same >= AGREE * len(notice) else None
+
 
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     """Where the phrase's words stand one after the other."""

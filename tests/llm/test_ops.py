@@ -483,6 +483,47 @@ def test_licenses(spark, none, docs):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_base_columns_on_planted_rows(spark):
+    r = random.Random(9)
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    bits = ["CC", "by", "GENERAL", "public", "License", "all", "rights", "reserved", "cc by", "General Public License", "über", "x1", ",", "-", "日本"]
+    rows = [(i, r.choice([" ", "; ", "\n"]).join(r.choice(bits) for _ in range(r.randrange(60)))) for i in range(300)] + [(7, rows_text) for rows_text in ("", None)] + [(r_[0], r_[1]) for r_ in ROWS]
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    want = []
+    for doc, text in rows:
+        w = pattern.findall(lowered(text or ""))
+        hits = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        at = [k for k, _ in hits]
+        want.append((doc, len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted_rows(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()) == sorted_rows(want)
+    for x in got.collect():
+        assert set(filter(None, x.base_labels.split(","))) <= set(filter(None, x.labels.split(","))) and 0 <= x.score <= 1
+        assert x.labels == ",".join(sorted(set(filter(None, x.labels.split(",")))))
+
+
+def test_licenses_with_words_put_in_and_left_out():
+    index = licenses.Index()
+    r = random.Random(2)
+    for label, notice, phrase in licenses.TEMPLATES:
+        words, key = licenses.words_of(notice.encode()), phrase.encode().split()
+        filler = [b"w%d" % r.randrange(10**6) for _ in range(200)]
+        whole = filler[:90] + words + filler[90:]
+        assert any(f[0] == label and f[1] == 90 and f[3] == 1.0 for f in index.scan(whole)), label
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        if len(words) >= 16:  # three words put in and one left out, not inside the phrase
+            spots = [i for i in range(1, len(words)) if not at - 1 <= i <= at + len(key)]
+            edited = list(words)
+            for i in sorted(r.sample(spots, 3), reverse=True):
+                edited.insert(i, b"indeed")
+            del edited[-1 if at + len(key) < len(words) else 0]
+            hits = [f for f in index.scan(filler[:50] + edited + filler[50:]) if f[0] == label]
+            assert any(f[2] - f[1] >= len(words) - 2 and licenses.AGREE <= f[3] < 1 for f in hits), label
+    assert index.scan([b"w%d" % i for i in range(500)]) == [] and index.scan([]) == []
+    many = index.scan((licenses.words_of(b"Released under the MIT License") + [b"zz"] * 30) * 40)
+    assert sum(f[0] == "mit" for f in many) == 40
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     sizes = sorted_rows((r[0], len(WORD.findall(r[1] or ""))) for r in ROWS)
