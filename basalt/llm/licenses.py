@@ -85,13 +85,16 @@ class Index:
         a, b = max(0, start), min(len(words), votes[-1][0] + len(notice))
         if not places(words[a:b], phrase):
             return None
-        same = 0
+        same, where = 0, (a, b)
         for offset, _ in Counter(o for o, _ in votes).most_common(2):  # as it stands, word for word
-            same = max(same, sum(0 <= offset + k < len(words) and words[offset + k] == w for k, w in enumerate(notice)))
+            agree = sum(0 <= offset + k < len(words) and words[offset + k] == w for k, w in enumerate(notice))
+            if agree > same:
+                same, where = agree, (max(0, offset), min(len(words), offset + len(notice)))
         if same < len(notice):
-            blocks = SequenceMatcher(None, notice, words[a:b], autojunk=False).get_matching_blocks()
-            same = max(same, sum(x.size for x in blocks))
-        return (label, a, b, same / len(notice)) if same >= AGREE * len(notice) else None
+            blocks = [x for x in SequenceMatcher(None, notice, words[a:b], autojunk=False).get_matching_blocks() if x.size]
+            if sum(x.size for x in blocks) > same:
+                same, where = sum(x.size for x in blocks), (a + blocks[0].b, a + blocks[-1].b + blocks[-1].size)
+        return (label, *where, same / len(notice)) if same >= AGREE * len(notice) else None
 
 
 def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
