@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, stored
+from .common import id_text, mark, stored
 
 VNODES = 64
 #: Rows of a cell, about: cells grow in number with the table, not in size.
 CELL_ROWS = 4096
+#: Equal rows that a task spells out at a time.
+TWINS = 1 << 16
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -84,28 +86,37 @@ def in_cells(keys: DataFrame, bits: int, shards: int) -> DataFrame:
     return held.withColumn("cell", F.coalesce(after, end)).drop("division", "points")
 
 
-def ring_shards(docs: DataFrame, shards: int, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ring_shards(docs: DataFrame, shards: int, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 8), text_crc32, law, shard, slot and grown_shard, a row for each row of ``docs``.
 
     Slots are gapless from 0 in each shard. The law is ``rows`` (slack 0) or ``bounded``. A null text has no
-    bytes and the checksum 0; null ids are keys like others; repeated rows are told apart by their numbers.
+    bytes and the checksum 0; rows without an id are keyed by their texts; repeated rows are counted, not moved,
+    and told apart by their numbers. An empty table gives no rows; extra columns are ignored. With ``marks``
+    also the row's mark.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    keys = id_text(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("doc_id", F.lit(10)).alias("place"))
-    keys = stored(keys, "ring-keys")  # slim: the texts are read once
-    total = keys.count()
+    slim = id_text(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[mark().alias("mark")] * marks)
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size", F.lit(11))).otherwise(F.xxhash64("doc_id", F.lit(10)))
+    row = ["place", "doc_id", "text_crc32", "size", *["mark"] * marks]
+    # Equal rows are one row with their number from here on: a row of which there are a million weighs as one.
+    keys = stored(slim.withColumn("place", place).groupBy(*row).agg(F.count("*").alias("n")), "ring-keys")
+    total = keys.agg(F.sum("n")).first()[0] or 0
     bits = min(20, max(8, (shards * VNODES).bit_length(), (total // CELL_ROWS).bit_length()))
     keys = in_cells(keys, bits, shards)
-    counts = {r.cell & (1 << 64) - 1: r.n for r in keys.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()}
+    counts = {r.cell & (1 << 64) - 1: r.n for r in keys.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator()}
     plan = spark.createDataFrame([(_signed(cell), *rest) for cell, *rest in walk(counts, 64, shards, slack)] or [(0, 0, 0, 0)], "cell long, first long, shard int, slot0 long")
     quotas = plan.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("first", "shard", "slot0"))).alias("quotas"))
-    order = Window.partitionBy("cell").orderBy("place", "doc_id", "text_crc32", "size")
-    numbered = keys.withColumn("nth", F.row_number().over(order).cast("long") - 1).join(quotas, "cell")
+    before = Window.partitionBy("cell").orderBy(*row).rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored(keys.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).join(quotas, "cell"), "ring-places")
+    # Of rows that are many, each TWINS go to a task of their own.
+    many = placed.where(F.col("n") > TWINS).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(TWINS).cast("long")))).repartition("cell", "place", "from")
+    each = placed.where(F.col("n") <= TWINS).withColumn("from", F.lit(0).cast("long")).unionByName(many)
+    rows = each.withColumn("twin", F.explode(F.sequence("from", F.least(F.col("from") + TWINS, F.col("n")) - 1))).withColumn("nth", F.col("twin") + F.col("before"))
     own = F.element_at(F.filter("quotas", lambda q: q["first"] <= F.col("nth")), -1)
     law = "bounded" if slack else "rows"
-    return numbered.withColumn("own", own).select(
-        "doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.col("own.shard").alias("shard"), (F.col("own.slot0") + F.col("nth") - F.col("own.first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    return rows.withColumn("own", own).select(
+        "doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.col("own.shard").alias("shard"), (F.col("own.slot0") + F.col("nth") - F.col("own.first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *["mark"] * marks
     )
 
 
@@ -127,8 +138,9 @@ def moved(counts: dict[int, int], bits: int, shards: int, slack: float) -> float
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the texts by shard, in slot order within each file."""
-    placed = ring_shards(docs, shards, slack, id_col, text_col).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    texts = id_text(docs, id_col, text_col).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = texts.join(placed, texts["doc_id"].eqNullSafe(placed["doc_id"]) & (texts["text_crc32"] == placed["text_crc32"])).select(texts["doc_id"], "text", "shard", "slot")
+    """Write doc_id, text and slot by shard, in slot order within each file; repeated rows have a slot each."""
+    placed = ring_shards(docs, shards, slack, id_col, text_col, marks=True).select("mark", "shard", "slot")
+    slim = id_text(docs, id_col, text_col)
+    texts = slim.withColumn("of", mark()).dropDuplicates(["of"])  # equal rows have one text
+    joined = placed.join(texts, placed["mark"] == texts["of"]).select("doc_id", "text", "shard", "slot")
     joined.repartition("shard", F.expr("slot DIV 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -607,6 +607,24 @@ def test_sharding(docs, none):
     assert sharding.ring_shards(none, 24).count() == 0
 
 
+def test_sharding_of_null_ids_and_twins(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TWINS", 64)
+    rows = [(None, f"text {i}") for i in range(300)] + [(5, "the same")] * 500 + [(5, "another")] * 3 + [(i, None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n", "cell", "shard", "slot", "mark", "from", "before")})
+    got = sharding.ring_shards(docs, 24).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 24 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(docs, path, 24)
+    back = spark.read.parquet(path).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
+    assert {(r.shard, r.slot) for r in back} == {(s, k) for s, own in slots.items() for k in own}
+
+
 def test_ring_moves_little_and_keeps_its_bounds():
     r = random.Random(2)
     counts = {c: r.randrange(50, 150) for c in range(1 << 12)}
@@ -624,9 +642,13 @@ def test_ring_moves_little_and_keeps_its_bounds():
 
 def test_keys_go_to_their_next_point(spark, docs, monkeypatch):
     points = sharding.ring(24)
-    place = {r.doc_id: r.place & (1 << 64) - 1 for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(10)).alias("place")).collect()}
+    # The key of a row without an id is its text's checksum and size.
+    text = F.coalesce("text", F.lit(""))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.crc32(text.cast("binary")), (F.octet_length(text) + 8).cast("long"), F.lit(11))).otherwise(F.xxhash64("doc_id", F.lit(10)))
+    place = {(r.doc_id, r.crc if r.doc_id is None else 0): r.place & (1 << 64) - 1 for r in docs.select("doc_id", F.crc32(text.cast("binary")).alias("crc"), key.alias("place")).collect()}
     for r in sharding.ring_shards(docs, 24, 23.0).collect():  # room for all rows in any shard
-        assert r.shard == next((s for p, s in points if p >= place[r.doc_id]), points[0][1])
+        at = place[r.doc_id, r.text_crc32 if r.doc_id is None else 0]
+        assert r.shard == next((s for p, s in points if p >= at), points[0][1])
 
     many = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     rows = lambda: sorted_rows(r[:-1] for r in sharding.ring_shards(many, 24).collect())
