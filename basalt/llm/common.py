@@ -17,6 +17,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that a task sends to the JVM at a time.
+SENT = 1 << 16
+
 _scratch: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
 
@@ -108,7 +111,9 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
         out = to_arrow_schema(target)
         for cols in fn(batches):
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(cols.values(), out, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=out)
+            made = pa.RecordBatch.from_arrays(arrays, schema=out)
+            for at in range(0, max(1, made.num_rows), SENT):  # small batches: the JVM holds one at a time
+                yield made.slice(at, SENT)
 
     return df.mapInArrow(run, schema)
 

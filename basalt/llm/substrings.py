@@ -34,7 +34,7 @@ PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 ANCHOR_BITS, ROW_BITS = 28, 24
 #: Windows settled at a time by a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U = np.uint64
 
 
