@@ -19,6 +19,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,12 @@ def repeated_ranges(found: DataFrame) -> DataFrame:
     return made.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of a few rows: what is made of one part is sent before the next."""
+    for at in range(0, batch.num_rows, 512):
+        yield batch.slice(at, 512)
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (the kept words joined by blanks): a row for each row of ``docs``."""
     if width <= PERIOD:
@@ -183,35 +190,28 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     def keyed(batches):
         bits = Bitmap(*sent.value)
         for batch in batches:
-            ids, keys, texts = [], [], []
-            for doc, text in texts_of(batch):
-                key = row_key(doc, text)
-                ids.append(doc)
-                keys.append(key)
-                texts.append(text.decode())
-            touched = bits.has(np.array(keys, U)) if keys else np.empty(0, bool)
-            yield {"doc_id": ids, "key": pa.array(signed(np.array(keys, U)), mask=~touched), "text": texts}
+            for own in slices(batch):
+                rows = list(texts_of(own))
+                keys = np.array([row_key(doc, text) for doc, text in rows], U)
+                yield {"doc_id": own.column(0), "key": pa.array(signed(keys), mask=~bits.has(keys)), "text": own.column(1).fill_null("")}
 
     def cut(batches):
         for batch in batches:
-            out = []
-            all_spans = batch.column(2)
-            for k, (doc, text) in enumerate(texts_of(batch)):
-                words = text.split()
-                spans = all_spans[k].as_py()
-                if spans:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for s in spans:
-                        edge[s["a"]] += 1
-                        edge[s["b"] + width] -= 1
-                    gone = np.cumsum(edge[:-1]) > 0
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    kept = words
-                joined = b" ".join(kept)
-                out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()))
-            if out:
-                yield dict(enumerate(map(list, zip(*out, strict=True))))
+            for own in slices(batch):
+                yield dict(enumerate(map(list, zip(*map(kept_of, texts_of(own), own.column(2).to_pylist()), strict=True))))
+
+    def kept_of(row, spans):
+        doc, text = row
+        words = kept = text.split()
+        if spans:
+            edge = np.zeros(len(words) + 1, np.int64)
+            for s in spans:
+                edge[s["a"]] += 1
+                edge[s["b"] + width] -= 1
+            gone = np.cumsum(edge[:-1]) > 0
+            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        joined = b" ".join(kept)
+        return doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()
 
     texts = map_batches(slim, keyed, "doc_id long, key long, text string")
     whole = texts.where("key IS NULL").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
