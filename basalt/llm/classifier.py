@@ -47,7 +47,7 @@ def grams(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.empty(0, np.uint8)
     row = 0
     while row < len(text):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (1 << 22), "right")) - 1)
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (1 << 20), "right")) - 1)
         stop = min(stop, len(text))
         b = data[offsets[row] : offsets[stop]].astype(np.uint32)
         b = np.concatenate([b, np.zeros(3, np.uint32)])

@@ -23,7 +23,7 @@ RUNS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 #: The same, or a blank at the end, for Arrow.
 UNEVEN = "[" + "".join(f"\\x{{{ord(r[0]):x}}}" for r in RUNS) + "] | \\z"
 #: Bytes of text in a block; a longer text is a block of its own.
-TEXTS = 1 << 23
+TEXTS = 1 << 22
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -47,7 +47,7 @@ class Encoder:
     ``room`` bounds each of the two generations of cached words: about 200 bytes a word.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -163,8 +163,9 @@ class Encoder:
         place = np.cumsum(length) - length
         times = length[code]
         ends = np.cumsum(times)
-        at = np.repeat(place[code] - ends + times, times)
-        at += np.arange(len(at))
+        small = np.int32 if ends[-1] < 1 << 30 and place[-1] < 1 << 30 else np.int64
+        at = np.repeat((place[code] - ends + times).astype(small), times)
+        at += np.arange(len(at), dtype=small)
         return np.frombuffer(b"".join(found), "<u4")[at], ends[np.append(starts[1:], len(code)) - 1]
 
 
