@@ -93,11 +93,16 @@ def mark(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def numbered(docs: DataFrame, marks: Column) -> DataFrame:
-    """row (all columns of ``docs`` as one record, so that no name clashes), row_mark and row_nth, a number from 1 among
-    the rows of a mark, ordered by their other columns."""
-    rest = [F.col("row")[f.name] for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), marks.alias("row_mark"))
-    return whole.withColumn("row_nth", F.row_number().over(Window.partitionBy("row_mark").orderBy(*rest)))
+    """The columns of ``docs`` as row_0, row_1, .. (so that no name clashes), row_mark and row_nth, a number from 1
+    among the rows of a mark, ordered by their other columns. ``restored`` gives the names back."""
+    rows = docs.select(*[docs[c].alias(f"row_{k}") for k, c in enumerate(docs.columns)], marks.alias("row_mark"))
+    rest = [f"row_{k}" for k, f in enumerate(docs.schema) if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return rows.withColumn("row_nth", F.row_number().over(Window.partitionBy("row_mark").orderBy(*rest)))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``numbered``, or of a join with it, as rows of ``docs``."""
+    return rows.select(*[F.col(f"row_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_text, mark, numbered, stored
+from .common import SPACE, id_text, mark, numbered, restored, stored
 
 #: Counters of the sketch: the bound of what is broadcast.
 TRACKED = 4096
@@ -65,4 +65,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays = duplicates(docs, id_col, text_col, marks=True).where("kept").select("mark")
     # Twins are thinned before the join, and so before their texts are shuffled.
     once = numbered(docs, mark(id_col, text_col)).where("row_nth = 1")
-    return once.join(stays, once["row_mark"] == stays["mark"]).select("row.*")
+    return restored(once.join(stays, once["row_mark"] == stays["mark"]), docs)

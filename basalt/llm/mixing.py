@@ -138,7 +138,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     names = {c: options[c] for c in ("id_col", "text_col", "source_col") if c in options}
     text_col = options.get("text_col", "text")
     joined = numbered(docs, source_mark(**names)).join(plan, (F.col("row_mark") == F.col("mix_mark")) & (F.col("row_nth") == F.col("mix_nth")))
-    text = F.col("row")[text_col]
+    of = {c: F.col(f"row_{k}") for k, c in enumerate(docs.columns)}
+    text = of[text_col]
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     size = F.regexp_count(text, F.lit(WORD))
     span = F.col("mix_cut") + F.col("mix_wrapped")
@@ -150,8 +151,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             F.when(F.col("mix_wrapped") > 0, F.array(F.array_join(F.slice(words, F.lit(1), F.col("mix_wrapped").cast("int")), " "))).otherwise(F.array().cast("array<string>")),
         )
     )
-    rows = joined.select("row", F.explode(wholes).alias("part"))
-    out = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.coalesce("part", F.col("row")[text_col])}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("part").isNotNull(), F.char_length("part").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    rows = joined.withColumn("part", F.explode(wholes))
+    out = of | {text_col: F.coalesce("part", text)}
+    if "n_chars" in of:
+        out["n_chars"] = F.when(F.col("part").isNotNull(), F.char_length("part").cast(docs.schema["n_chars"].dataType)).otherwise(of["n_chars"])
     return rows.select(*[c.alias(k) for k, c in out.items()])

@@ -47,7 +47,7 @@ class Encoder:
     ``room`` bounds each of the two generations of cached words: about 200 bytes a word.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -132,14 +132,14 @@ class Encoder:
 
     def blocks(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of some rows on end, their ends by row): each text's ids and the end id; a null text is empty."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
         row = 0
         while row < len(texts):
             before = int(sizes[row - 1]) if row else 0
             stop = max(row + 1, int(np.searchsorted(sizes, before + TEXTS, "right")))
-            yield row, *self._block(texts.slice(row, stop - row), end_id)
+            yield row, *self._block(texts.slice(row, stop - row).cast(pa.large_string()).fill_null(""), end_id)
             row = stop
+            pa.default_memory_pool().release_unused()
 
     def _block(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         n, heads = len(texts), []
