@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm import classifier, exact, jaccard, mixing, packing
-from basalt.llm.common import WORD, mark, numbered, stored, table
+from basalt.llm.common import WORD, mark, numbered, restored, stored, table
 from basalt.llm.queries import vocabulary
 
 
@@ -31,8 +31,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.components(docs, marks=True)
     first = found.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")).select(F.col("first.mark").alias("stays_mark"))
     stays = first.union(found.where("n_shingles = 0").select("mark").distinct())
-    rows = numbered(docs, mark()).where((F.col("row_nth") == 1) | ~F.coalesce(F.col("row")["text"], F.lit("")).rlike(WORD))
-    return rows.join(stays, rows["row_mark"] == stays["stays_mark"]).select("row.*")
+    text = F.col(f"row_{docs.columns.index('text')}")
+    rows = numbered(docs, mark()).where((F.col("row_nth") == 1) | ~F.coalesce(text, F.lit("")).rlike(WORD))
+    return restored(rows.join(stays, rows["row_mark"] == stays["stays_mark"]), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
