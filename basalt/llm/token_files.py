@@ -34,7 +34,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: s
     placed = id_text(docs, id_col, text_col).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer, room=500_000, block=1 << 23), TaskContext.get().partitionId()
         ids, held, counts, segment = [], [], [], 0
 
         def flush():

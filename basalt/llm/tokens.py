@@ -44,14 +44,15 @@ def packed(ids: list[int]) -> bytes:
 class Encoder:
     """ids of a text as bytes, little-endian unsigned 32-bit; ``path`` is a file of the tokenizers library.
 
-    ``room`` bounds each of the two generations of cached words: about 200 bytes a word.
+    ``room`` bounds each of the two generations of cached words, about 200 bytes a word; ``block`` is the bytes of
+    text in a block. More of either is fewer words encoded again.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 300_000, block: int = TEXTS):
         import regex
         from tokenizers import Tokenizer
 
-        self.library, self.room = Tokenizer.from_file(path), room
+        self.library, self.room, self.block = Tokenizer.from_file(path), room, block
         self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -136,7 +137,7 @@ class Encoder:
         row = 0
         while row < len(texts):
             before = int(sizes[row - 1]) if row else 0
-            stop = max(row + 1, int(np.searchsorted(sizes, before + TEXTS, "right")))
+            stop = max(row + 1, int(np.searchsorted(sizes, before + self.block, "right")))
             yield row, *self._block(texts.slice(row, stop - row).cast(pa.large_string()).fill_null(""), end_id)
             row = stop
             pa.default_memory_pool().release_unused()
@@ -169,7 +170,7 @@ class Encoder:
         return np.frombuffer(b"".join(found), "<u4")[at], ends[np.append(starts[1:], len(code)) - 1]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, **sizes: int) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, **sizes)
     return _ENCODERS[path]
