@@ -3,12 +3,13 @@
 Texts are equal when the same after their white space is deleted; SHA-256 of the rest stands for a text.
 A frequent-items sketch (Misra-Gries, at most ``TRACKED`` counters) finds digests that may hold many rows.
 Their counts and winners are verified exactly over all rows, by partial aggregates that shuffle a row per
-digest and task, and are broadcast (at most ``TRACKED`` rows), so that the rows of large groups are settled
+digest and task, and are broadcast (at most a quarter of ``TRACKED`` rows), so that the rows of large groups are settled
 where they lie. All other digests go through one ordinary shuffle; what the sketch guarantees bounds their
-groups to a ``TRACKED``-th of the table.
+groups to about a 1,024th of the table.
 
 The row with the most code points stays, then the one of the smallest id (a null id last). A null text is
-empty. Each row is a member of its own, repeated rows too; among wholly equal winners one stays.
+empty. Each row is a member of its own, repeated rows too; among wholly equal winners one stays. An empty
+table gives no rows. Extra columns are ignored, and carried by ``drop_copies``.
 """
 
 from __future__ import annotations
