@@ -257,7 +257,7 @@ sql("lit_typed_array_struct", "SELECT n_nationkey, ARRAY<INT64>[n_regionkey, 7]
 sql("unnest_left", "SELECT o.o_orderkey, part FROM (SELECT o_orderkey, IF(o_orderstatus = 'F', ARRAY<STRING>[], SPLIT(o_orderpriority, '-')) AS parts FROM {orders}) AS o LEFT JOIN UNNEST(o.parts) AS part", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE part END AS part FROM (SELECT o_orderkey, o_orderstatus, unnest(CASE WHEN o_orderstatus = 'F' THEN ['x'] ELSE string_split(o_orderpriority, '-') END) AS part FROM {orders})")
 sql("unnest_with_offset", "SELECT vec_id, place, CAST(x AS FLOAT64) AS x FROM {embeddings}, UNNEST(embedding) AS x WITH OFFSET AS place", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM {embeddings}")
 sql("array_subscripts", "SELECT vec_id, CAST(embedding[OFFSET(0)] AS FLOAT64) AS a, CAST(embedding[ORDINAL(2)] AS FLOAT64) AS b, embedding[SAFE_OFFSET(100000)] IS NULL AS c FROM {embeddings}", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, TRUE AS c FROM {embeddings}")
-sql("array_subquery", "SELECT vec_id, ARRAY_LENGTH(ARRAY(SELECT x FROM UNNEST(embedding) AS x WHERE x > 0)) AS n FROM {embeddings}", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS n FROM {embeddings}")
+sql("array_of_subquery", "SELECT vec_id, ARRAY_LENGTH(ARRAY(SELECT x FROM UNNEST(embedding) AS x WHERE x > 0)) AS n FROM {embeddings}", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS n FROM {embeddings}")
 sql("to_json_nulls", "SELECT o_orderkey, TO_JSON(STRUCT(o_orderkey AS k, NULLIF(o_orderstatus, 'O') AS s)) AS j, TO_JSON(o_custkey) AS c, TO_JSON(o_orderstatus) AS t FROM {orders}", "SELECT o_orderkey, '{\"k\":' || o_orderkey || ',\"s\":' || CASE WHEN o_orderstatus = 'O' THEN 'null' ELSE '\"' || o_orderstatus || '\"' END || '}' AS j, CAST(o_custkey AS VARCHAR) AS c, '\"' || o_orderstatus || '\"' AS t FROM {orders}")
 sql("agg_countif_logical", "SELECT o_custkey, COUNTIF(o_totalprice > 150000) AS n, LOGICAL_OR(o_orderstatus = 'P') AS some, LOGICAL_AND(o_totalprice > 20000) AS every FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, count(*) FILTER (WHERE o_totalprice > 150000) AS n, bool_or(o_orderstatus = 'P') AS some, bool_and(o_totalprice > 20000) AS every FROM {orders} GROUP BY o_custkey")
 sql("agg_array_agg_order_limit", "SELECT o_custkey, ARRAY_AGG(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 3) AS best FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, list_slice(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC), 1, 3) AS best FROM {orders} GROUP BY o_custkey")
